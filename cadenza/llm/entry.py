@@ -5,6 +5,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,7 +18,52 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(read(spark, sf_dir, "documents"), n=3, threshold=Fraction(9, 10)).labelled()
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cadenza.llm.tokenfile import read_tokens, write_tokens
+
+    return read_tokens(write_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.mih import search
+
+    return search(read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.quality import score_quality
+
+    return score_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")).drop("text")
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.decontaminate import decontaminate
+
+    hits = decontaminate(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op7_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.toxicity import score_toxicity
+
+    return score_toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")).drop("text")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.warc import read_warc, write_warc
+
+    return read_warc(write_warc(read(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
+    "op5_line_crf_quality": op5_line_crf_quality,
+    "op6_winnowing": op6_winnowing,
+    "op7_nb_toxicity": op7_nb_toxicity,
+    "op8_warc": op8_warc,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
