@@ -57,8 +57,31 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(write_warc(read(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.mixing import mix
+
+    return mix(read(spark, sf_dir, "documents"), repeats=2.0)
+
+
+def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cadenza.llm.tokencount import count_tokens
+
+    return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadenza.llm.shards import shard
+
+    return shard(read(spark, sf_dir, "documents"), shards=8)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_temperature_mixing": op2_temperature_mixing,
+    "op3_trie_token_counts": op3_trie_token_counts,
+    "op10_balanced_shards": op10_balanced_shards,
     "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_line_crf_quality": op5_line_crf_quality,
     "op6_winnowing": op6_winnowing,
