@@ -2,14 +2,15 @@
 
 Documents are sets of distinct word n-grams (64-bit hashes). The join
 
-1. partitions similar documents into groups: equal least hash over the whole set, large groups cut
-   into blocks of about ``BLOCK_TOKENS`` grams by a hash of the set;
+1. partitions similar documents into groups: equal least hash over the more frequent half of the set (copies
+   of one text keep its grams there, whatever was edited), large groups cut into blocks of about
+   ``BLOCK_TOKENS`` grams by a hash of the set;
 2. stores each group's token union, the token-group matrix: rows (token, block, smallest and largest
    member set). Only the tokens that can decide are stored: with all grams in one common order, rare
    first, two sets that overlap in ``a`` grams share ``k`` of their first ``n - a + k`` grams;
 3. bounds each query group's overlap with every other group by joining the matrix with itself on the
    token: a pair of groups whose unions share fewer than ``k`` deciding tokens, or whose sizes are too
-   far apart, holds no link;
+   far apart, holds no link, and neither does a group in which no member shares as many with another;
 4. opens only the qualifying pairs of groups and counts exact intersections there.
 
 The common order ranks grams by a fixed-size table of counters over all documents, so passages that
@@ -24,7 +25,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm import textbytes as tb
@@ -68,9 +69,14 @@ def set_key(grams: np.ndarray) -> bytes | None:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
 
 
-def group_key(grams: np.ndarray) -> int:
-    """The least hash of the set under an order of its own: similar sets mostly agree in it."""
-    return int(tb.mix(grams, 77).min().view(np.int64)) if len(grams) else 0
+def group_key(grams: np.ndarray, rank: np.ndarray) -> int:
+    """The least hash, under an order of its own, of the grams of at least median rank: similar sets mostly agree in it."""
+    own = rank[_slot(grams)]
+    return int(tb.mix(grams[own >= np.median(own)], 77).min().view(np.int64))
+
+
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (grams & tb.U64(COUNTERS - 1)).astype(np.int64)
 
 
 def _least_overlap(n: int, num: int, den: int) -> int:
@@ -82,8 +88,7 @@ def _ordered(grams: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndar
     """The deciding grams: the first ones in the common order."""
     least = _least_overlap(len(grams), num, den)
     keep = len(grams) - least + min(SHARED, least)
-    slot = (grams & tb.U64(COUNTERS - 1)).astype(np.int64)
-    return grams[np.lexsort((grams, rank[slot]))[:keep]]
+    return grams[np.lexsort((grams, rank[_slot(grams)]))[:keep]]
 
 
 class JaccardJoin:
@@ -93,7 +98,7 @@ class JaccardJoin:
     ignored). Null, empty and wordless texts have the empty set and no link. Rows that repeat an id or a
     text are members of one class per distinct set.
 
-    classes(): one row per distinct set (key, n, group_key, rep = smallest id, copies).
+    classes(): one row per distinct set (key, n, rep = smallest id, copies).
     links(): (a, b) keys of linked classes; with ``forest`` only enough of them to connect every component,
         without it every link between different sets with its intersection and similarity.
     members(): per row of docs: id, n_shingles, key.
@@ -116,21 +121,20 @@ class JaccardJoin:
         def scan(batches):
             counts = np.zeros(COUNTERS, dtype=np.uint32)
             for batch in batches:
-                size, key, group = [], [], []
+                size, key = [], []
                 for _, grams in document_sets(batch.column(1), n):
-                    counts[(grams & tb.U64(COUNTERS - 1)).astype(np.int64)] += 1
+                    counts[_slot(grams)] += 1
                     size.append(len(grams))
                     key.append(set_key(grams))
-                    group.append(group_key(grams))
                 rows = len(size)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(group, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], ["doc_id", "n", "key", "g", "chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], ["doc_id", "n", "key", "chunk", "counts"])
             chunks = [k for k in range(COUNTERS // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
             if chunks:
                 held = [counts[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in chunks]
                 void = len(chunks)
-                yield pa.RecordBatch.from_arrays([pa.nulls(void, pa.int64()), pa.nulls(void, pa.int64()), pa.nulls(void, pa.binary()), pa.nulls(void, pa.int64()), pa.array(chunks, pa.int32()), pa.array(held, pa.binary())], ["doc_id", "n", "key", "g", "chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(void, pa.int64()), pa.nulls(void, pa.int64()), pa.nulls(void, pa.binary()), pa.array(chunks, pa.int32()), pa.array(held, pa.binary())], ["doc_id", "n", "key", "chunk", "counts"])
 
-        return self.ws.table("scan", self.docs.mapInArrow(scan, "doc_id long, n long, key binary, g long, chunk int, counts binary"))
+        return self.ws.table("scan", self.docs.mapInArrow(scan, "doc_id long, n long, key binary, chunk int, counts binary"))
 
     def members(self) -> DataFrame:
         return self._first.where("chunk IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "key")
@@ -138,7 +142,7 @@ class JaccardJoin:
     def classes(self) -> DataFrame:
         if not hasattr(self, "_classes"):
             rows = self._first.where("chunk IS NULL AND key IS NOT NULL")
-            self._classes = self.ws.table("classes", rows.groupBy("key").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+            self._classes = self.ws.table("classes", rows.groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
         return self._classes
 
     def _rank(self):
@@ -159,24 +163,15 @@ class JaccardJoin:
             rank[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.rank, dtype=np.uint8)
         return self.spark.sparkContext.broadcast(rank)
 
-    def _blocked(self) -> DataFrame:
-        """(key, n, b): every class with its block."""
-        if not hasattr(self, "_blocks"):
-            c = self.classes()
-            wide = c.groupBy("g").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("cuts")).where("cuts > 1")
-            placed = c.join(wide, "g", "left").withColumn("b", F.xxhash64("g", F.pmod(F.xxhash64("key"), F.coalesce("cuts", F.lit(1)))))
-            self._blocks = self.ws.table("blocks", placed.select("key", "n", "b"))
-        return self._blocks
-
-    def _matrix(self) -> DataFrame:
-        """The token-group matrix without tokens of a single group: (token, b, lo, hi)."""
+    def _deciding(self) -> DataFrame:
+        """(key, n, g, tokens): the group key and the deciding grams of every class; copies read by other tasks may repeat it."""
         n, num, den, rank = self.n, self.num, self.den, self._rank()
 
         def deciding(batches):
             seen: set[bytes] = set()
             order = rank.value
             for batch in batches:
-                keys, tokens, sizes = [], [], [0]
+                keys, group, full, tokens, sizes = [], [], [], [], [0]
                 for _, grams in document_sets(batch.column(0), n):
                     key = set_key(grams)
                     if key is None or key in seen:
@@ -186,33 +181,39 @@ class JaccardJoin:
                     seen.add(key)
                     first = _ordered(grams, order, num, den)
                     keys.append(key)
+                    group.append(group_key(grams, order))
+                    full.append(len(grams))
                     tokens.append(first)
                     sizes.append(sizes[-1] + len(first))
                 flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], ["key", "tokens"])
-
-        rows = self.docs.select("text").mapInArrow(deciding, "key binary, tokens array<long>")
-        cells = rows.join(self._blocked(), "key").select(F.explode("tokens").alias("token"), "b", "n")
-        cells = cells.repartition(F.col("token")).groupBy("token", "b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        cells.createOrReplaceTempView(view := f"cells_{self.ws.path[-12:]}")
-        shared = self.spark.sql(f"SELECT token, b, lo, hi FROM (SELECT *, count(1) OVER (PARTITION BY token) AS groups FROM {view}) WHERE groups > 1")
-        out = self.ws.table("matrix", shared)
-        self.spark.catalog.dropTempView(view)
-        return out
-
-    def _opened(self) -> DataFrame:
-        """(b1, b2): pairs of groups that the bound leaves, and every group of several classes with itself."""
-        m = self._matrix()
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(full, pa.int64()), pa.array(group, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], ["key", "n", "g", "tokens"])
+
+        return self.ws.table("deciding", self.docs.select("text").mapInArrow(deciding, "key binary, n long, g long, tokens array<long>"))
+
+    def _open(self) -> tuple[DataFrame, DataFrame]:
+        """(key, b): every class with its block; (b1, b2): pairs of groups, and groups alone, that the bound leaves."""
+        d = self._deciding()
+        c = d.groupBy("key").agg(F.first("n").alias("n"), F.first("g").alias("g"))
+        c = self.ws.table("grouped", c)
+        wide = c.groupBy("g").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("cuts")).where("cuts > 1")
+        placed = c.join(wide, "g", "left").withColumn("b", F.xxhash64("g", F.pmod(F.xxhash64("key"), F.coalesce("cuts", F.lit(1)))))
+        blocked = self.ws.table("blocks", placed.select("key", "b"))
+        cells = d.join(blocked, "key").select(F.explode("tokens").alias("token"), "b", "n", F.xxhash64("key").alias("k"))
+        cells = cells.repartition(F.col("token")).groupBy("token", "b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), (F.min("k") != F.max("k")).alias("several"))
+        among = Window.partitionBy("token")
+        m = self.ws.table("matrix", cells.withColumn("groups", F.count(F.lit(1)).over(among)).where("groups > 1 OR several"))
+        self.ws.drop("deciding", "grouped")
         fits = f"x.hi * {self.den} >= y.lo * {self.num} AND y.hi * {self.den} >= x.lo * {self.num}"
         bound = m.alias("x").join(m.alias("y"), F.expr(f"x.token = y.token AND x.b < y.b AND {fits}")).groupBy(F.col("x.b").alias("b1"), F.col("y.b").alias("b2")).agg(F.count("*").alias("shared"), F.min(F.least("x.lo", "y.lo")).alias("lo"))
-        pairs = bound.where(f"shared >= least({SHARED}, ceil({self.num} * lo / {self.den}))").select("b1", "b2")
-        own = self._blocked().groupBy("b").agg(F.count("*").alias("c")).where("c > 1").select(F.col("b").alias("b1"), F.col("b").alias("b2"))
-        return self.ws.table("opened", pairs.unionByName(own))
+        own = m.where("several").groupBy(F.col("b").alias("b1"), F.col("b").alias("b2")).agg(F.count("*").alias("shared"), F.min("lo").alias("lo"))
+        pairs = bound.unionByName(own).where(f"shared >= least({SHARED}, ceil({self.num} * lo / {self.den}))")
+        return blocked, self.ws.table("opened", pairs.select("b1", "b2"))
 
     def links(self, forest: bool = False) -> DataFrame:
         """(a, b, inter, similarity): keys of linked classes, a < b as bytes."""
-        opened, n, num, den = self._opened(), self.n, self.num, self.den
-        wanted = self._blocked().join(opened.select(F.explode(F.array("b1", "b2")).alias("b")).distinct(), "b", "left_semi").select("key", "b")
+        n, num, den = self.n, self.num, self.den
+        blocked, opened = self._open()
+        wanted = blocked.join(opened.select(F.explode(F.array("b1", "b2")).alias("b")).distinct(), "b", "left_semi").select("key", "b")
         wanted = self.ws.table("wanted", wanted)
         count = wanted.count()
         few = None
