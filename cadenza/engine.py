@@ -10,6 +10,7 @@ from cadenza.functions.dialect import Spark
 from cadenza.operators import prosody, rhymemap
 from cadenza.plans import compare, rhymes
 from cadenza.plans.views import query
+from cadenza.shipping import ship
 from cadenza.sources import lexicon as lx
 
 
@@ -22,6 +23,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, lexicon: DataFrame | None = None):
         self.spark = spark
+        ship(spark)
         self.lexicon = lexicon if lexicon is not None else lx.load(spark)
         self._tables: dict[str, DataFrame] = {}
         self._small = self.lexicon.count() <= lx.BROADCAST_ENTRIES
