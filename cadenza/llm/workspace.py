@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.shipping import ship
+
+__all__ = ["Workspace", "local_path", "opened", "put", "shared_root", "ship"]
+
 _local: list[str] = []
 
 
@@ -26,26 +29,6 @@ def shared_root(spark: SparkSession) -> str:
     return _local[0]
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once an application, so that Python workers can import it wherever they run."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    at = os.path.join(tempfile.mkdtemp(prefix="cadenza-ship-"), "cadenza.zip")
-    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(os.path.join(root, "cadenza")):
-            for name in names:
-                if not name.endswith(".pyc"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, root))
-    spark.sparkContext.addPyFile(at)
-    _shipped.add(app)
-
-
 class Workspace:
     """A run's own folder below the shared one. Tables written here cut lineage and survive lost executors."""
 
