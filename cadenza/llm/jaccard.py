@@ -11,7 +11,9 @@ Documents are sets of distinct word n-grams (64-bit hashes). The join
 3. bounds each query group's overlap with every other group by joining the matrix with itself on the
    token: a pair of groups whose unions share fewer than ``k`` deciding tokens, or whose sizes are too
    far apart, holds no link, and neither does a group in which no member shares as many with another;
-4. opens only the qualifying pairs of groups and counts exact intersections there.
+4. opens only the qualifying pairs of groups: first by parity sketches of the sets (a quarter byte a gram), whose
+   differing bits are at most the differing grams, then, for members that still may have a partner there, by
+   exact intersections.
 
 The common order ranks grams by a fixed-size table of counters over all documents, so passages that
 many documents share come last and decide nothing unless a document consists of little else. The order
@@ -38,8 +40,8 @@ COUNTERS = 1 << 21
 CHUNK = 1 << 16
 #: Tokens that two groups must share, where the sets are large enough.
 SHARED = 3
-#: Grams of a block of a large group.
-BLOCK_TOKENS = 1 << 16
+#: Grams and members of a block of a large group.
+BLOCK_TOKENS, BLOCK_SETS = 1 << 16, 1 << 10
 #: Sets up to this many opened ones are filtered before the shuffle by a broadcast of their 16-byte keys (16 MB).
 KEYS_BROADCAST = 1_000_000
 #: Members times grams of a block pair up to which intersections are one matrix product.
@@ -79,6 +81,18 @@ def _slot(grams: np.ndarray) -> np.ndarray:
     return (grams & tb.U64(COUNTERS - 1)).astype(np.int64)
 
 
+def parity_sketch(grams: np.ndarray) -> bytes:
+    """A power of two of bits, at least twice the set's grams and 64: each the parity of the grams hashed to it."""
+    bits = max(64, 1 << int(2 * len(grams) - 1).bit_length())
+    slot = (tb.mix(grams, 9) & tb.U64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(slot, minlength=bits) & 1).tobytes()
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of fewer bits: parities of grams that now share a bit add up."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
 def _least_overlap(n: int, num: int, den: int) -> int:
     """The least intersection of a set of n grams with any set it links to: ceil(threshold * n)."""
     return -(-num * n // den)
@@ -164,14 +178,14 @@ class JaccardJoin:
         return self.spark.sparkContext.broadcast(rank)
 
     def _deciding(self) -> DataFrame:
-        """(key, n, g, tokens): the group key and the deciding grams of every class; copies read by other tasks may repeat it."""
+        """(key, n, g, sketch, tokens): group key, sketch and deciding grams of every class; copies read by other tasks may repeat it."""
         n, num, den, rank = self.n, self.num, self.den, self._rank()
 
         def deciding(batches):
             seen: set[bytes] = set()
             order = rank.value
             for batch in batches:
-                keys, group, full, tokens, sizes = [], [], [], [], [0]
+                keys, group, full, sketch, tokens, sizes = [], [], [], [], [], [0]
                 for _, grams in document_sets(batch.column(0), n):
                     key = set_key(grams)
                     if key is None or key in seen:
@@ -183,42 +197,61 @@ class JaccardJoin:
                     keys.append(key)
                     group.append(group_key(grams, order))
                     full.append(len(grams))
+                    sketch.append(parity_sketch(grams))
                     tokens.append(first)
                     sizes.append(sizes[-1] + len(first))
                 flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(full, pa.int64()), pa.array(group, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], ["key", "n", "g", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(full, pa.int64()), pa.array(group, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], ["key", "n", "g", "sketch", "tokens"])
 
-        return self.ws.table("deciding", self.docs.select("text").mapInArrow(deciding, "key binary, n long, g long, tokens array<long>"))
+        return self.ws.table("deciding", self.docs.select("text").mapInArrow(deciding, "key binary, n long, g long, sketch binary, tokens array<long>"))
 
-    def _open(self) -> tuple[DataFrame, DataFrame]:
-        """(key, b): every class with its block; (b1, b2): pairs of groups, and groups alone, that the bound leaves."""
+    def _open(self) -> DataFrame:
+        """(b1, b2, key, b): the members to verify of every pair of groups, and of every group alone, that the bounds leave."""
         d = self._deciding()
         c = d.groupBy("key").agg(F.first("n").alias("n"), F.first("g").alias("g"))
         c = self.ws.table("grouped", c)
-        wide = c.groupBy("g").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("cuts")).where("cuts > 1")
+        wide = c.groupBy("g").agg(F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK_TOKENS), F.count("*") / F.lit(BLOCK_SETS))).alias("cuts")).where("cuts > 1")
         placed = c.join(wide, "g", "left").withColumn("b", F.xxhash64("g", F.pmod(F.xxhash64("key"), F.coalesce("cuts", F.lit(1)))))
         blocked = self.ws.table("blocks", placed.select("key", "b"))
         cells = d.join(blocked, "key").select(F.explode("tokens").alias("token"), "b", "n", F.xxhash64("key").alias("k"))
         cells = cells.repartition(F.col("token")).groupBy("token", "b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), (F.min("k") != F.max("k")).alias("several"))
         among = Window.partitionBy("token")
         m = self.ws.table("matrix", cells.withColumn("groups", F.count(F.lit(1)).over(among)).where("groups > 1 OR several"))
-        self.ws.drop("deciding", "grouped")
         fits = f"x.hi * {self.den} >= y.lo * {self.num} AND y.hi * {self.den} >= x.lo * {self.num}"
         bound = m.alias("x").join(m.alias("y"), F.expr(f"x.token = y.token AND x.b < y.b AND {fits}")).groupBy(F.col("x.b").alias("b1"), F.col("y.b").alias("b2")).agg(F.count("*").alias("shared"), F.min(F.least("x.lo", "y.lo")).alias("lo"))
         own = m.where("several").groupBy(F.col("b").alias("b1"), F.col("b").alias("b2")).agg(F.count("*").alias("shared"), F.min("lo").alias("lo"))
         pairs = bound.unionByName(own).where(f"shared >= least({SHARED}, ceil({self.num} * lo / {self.den}))")
-        return blocked, self.ws.table("opened", pairs.select("b1", "b2"))
+        opened = self.ws.table("opened", pairs.select("b1", "b2"))
+        sides = opened.select("b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("b"))
+        members = blocked.join(sides, "b")
+        num, den = self.num, self.den
+
+        def flag(table: pa.Table) -> pa.Table:
+            left, right = table.column("b1")[0].as_py(), table.column("b2")[0].as_py()
+            known: dict[bytes, tuple[int, int, np.ndarray]] = {}
+            for key, b, n, sketch in zip(table.column("key").to_pylist(), table.column("b").to_pylist(), table.column("n").to_pylist(), table.column("sketch"), strict=True):
+                if key not in known:
+                    known[key] = (b, n, np.frombuffer(sketch.as_buffer(), dtype=np.uint64))
+            keys = sorted(known)
+            kept = _maybe_linked([known[k] for k in keys], left == right, num, den)
+            kept = [keys[i] for i in kept]
+            size = len(kept)
+            return pa.table({"b1": pa.array([left] * size, pa.int64()), "b2": pa.array([right] * size, pa.int64()), "key": pa.array(kept, pa.binary()), "b": pa.array([known[k][0] for k in kept], pa.int64())})
+
+        looked = d.select("key", "n", "sketch").join(members, "key").groupBy("b1", "b2").applyInArrow(flag, "b1 long, b2 long, key binary, b long")
+        flagged = self.ws.table("flagged", looked)
+        self.ws.drop("deciding", "grouped", "matrix", "opened")
+        return flagged
 
     def links(self, forest: bool = False) -> DataFrame:
         """(a, b, inter, similarity): keys of linked classes, a < b as bytes."""
         n, num, den = self.n, self.num, self.den
-        blocked, opened = self._open()
-        wanted = blocked.join(opened.select(F.explode(F.array("b1", "b2")).alias("b")).distinct(), "b", "left_semi").select("key", "b")
-        wanted = self.ws.table("wanted", wanted)
+        flagged = self._open()
+        wanted = self.ws.table("wanted", flagged.select("key").distinct())
         count = wanted.count()
         few = None
         if count <= KEYS_BROADCAST:
-            few = self.spark.sparkContext.broadcast({bytes(r.key) for r in wanted.select("key").collect()})
+            few = self.spark.sparkContext.broadcast({bytes(r.key) for r in wanted.collect()})
 
         def sets(batches):
             seen: set[bytes] = set()
@@ -235,9 +268,7 @@ class JaccardJoin:
                     grams_.append(grams.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(grams_, pa.binary())], ["key", "grams"])
 
-        rows = self.docs.select("text").mapInArrow(sets, "key binary, grams binary").join(wanted, "key")
-        sides = opened.select("b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("b"))
-        rows = rows.join(sides, "b")
+        rows = self.docs.select("text").mapInArrow(sets, "key binary, grams binary").join(flagged, "key")
 
         def verify(table: pa.Table) -> pa.Table:
             same = table.column("b1")[0].as_py() == table.column("b2")[0].as_py()
@@ -265,6 +296,27 @@ class JaccardJoin:
         return self.members().join(final, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _maybe_linked(members, same, num, den) -> list[int]:
+    """Places of the (block, n, sketch) that differ from some member across in few enough bits to be linked."""
+    block = np.array([m[0] for m in members])
+    size = np.array([m[1] for m in members], dtype=np.int64)
+    words = np.array([len(m[2]) for m in members])
+    keep = np.zeros(len(members), dtype=bool)
+    for w in np.unique(words):
+        large = np.flatnonzero(words >= w)
+        folded = np.stack([_folded(members[i][2], w) for i in large])
+        for i in np.flatnonzero(words == w):
+            across = np.ones(len(large), dtype=bool) if same else block[large] != block[i]
+            across &= (large != i) & (size[large] * den >= size[i] * num) & (size[i] * den >= size[large] * num)
+            at = np.flatnonzero(across)
+            if len(at):
+                apart = np.bitwise_count(folded[at] ^ members[i][2]).sum(axis=1, dtype=np.int64)
+                hit = large[at[apart * (den + num) <= (size[large[at]] + size[i]) * (den - num)]]
+                keep[hit] = True
+                keep[i] |= len(hit) > 0
+    return np.flatnonzero(keep).tolist()
+
+
 def _linked(first, second, sets, same, num, den, forest):
     """Exact links between two lists of keys (or within one): (smaller key, larger key, intersection, similarity)."""
     if not first or not second:
