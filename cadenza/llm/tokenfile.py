@@ -32,14 +32,26 @@ CHECKSUM_FLAG = 0x80
 #: Words an encoder remembers; about 60 MB. Beyond that it starts anew, which changes speed only.
 REMEMBERED = 1_000_000
 ENCODE_RUN = 4 << 20
+_LETTER = tb.byte_class((97, 122))
+_STOP = np.isin(np.arange(256), list(b".,;:!?"))
+
+
+def _with(places: np.ndarray, more: np.ndarray, size: int) -> np.ndarray:
+    """Both lists of places up to ``size``, in order and once each."""
+    mark = np.zeros(size + 1, dtype=bool)
+    mark[places] = True
+    mark[more] = True
+    return np.flatnonzero(mark)
 
 
 class WordEncoder:
-    """Token ids of whole texts from a tokenizer that drops white space, each distinct word encoded once.
+    """Token ids of whole texts from a tokenizer that drops white space and case, each distinct piece encoded once.
 
-    Equal to ``encode(text, add_special_tokens=False)``: ASCII white space always parts this tokenizer's
-    words, so a text's ids are its words' ids in order. Words are encoded many at a time, parted by a special
-    token; words that may hold a special token's own text are encoded one by one.
+    Equal to ``encode(text, add_special_tokens=False)``: this tokenizer always parts words at ASCII white space
+    and between an ASCII letter and one of ``.,;:!?``, and A-Z count as a-z, so a text's ids are the ids of its
+    lower-cased pieces in order. Pieces are encoded many at a time, parted by a special token. A run of texts
+    that may hold a special token's own text is cut at white space only, keeps its case, and pieces that may
+    hold one are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -57,20 +69,23 @@ class WordEncoder:
         self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
     def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        odd = [i for i, w in enumerate(words) if self.mark is None or self.hint in w]
-        plain = sorted(set(range(len(words))) - set(odd))
-        ids: list = [None] * len(words)
-        for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
-            ids[i] = np.array(e.ids, np.uint32)
-        step = 4096
-        joined = [f" {self.mark} ".join(texts[i] for i in plain[a : a + step]) for a in range(0, len(plain), step)]
-        for a, text in zip(range(0, len(plain), step), joined, strict=True):
-            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            for i, part in zip(plain[a : a + step], np.split(got, np.flatnonzero(got == self.mark_id)), strict=True):
-                ids[i] = part[1:] if len(part) and part[0] == self.mark_id else part
-        count = np.array([len(x) for x in ids], np.int64)
+        odd = np.array([self.mark is None or self.hint in w for w in words], dtype=bool)
+        ids, counts = [], []
+        plain, gap = [w for w, o in zip(words, odd, strict=True) if not o], f" {self.mark} ".encode()
+        for a in range(0, len(plain), 4096):
+            got = self._ids(gap.join(plain[a : a + 4096]).decode("utf-8", "replace"))
+            marks = np.flatnonzero(got == self.mark_id)
+            counts.append(np.diff(np.concatenate([[-1], marks, [len(got)]])) - 1)
+            ids.append(np.delete(got, marks))
+        for i in np.flatnonzero(odd):
+            ids.append(self._ids(words[i].decode("utf-8", "replace")))
+            counts.append(np.array([len(ids[-1])]))
+        keys = np.concatenate([keys[~odd], keys[odd]])
+        count = np.concatenate(counts).astype(np.int64)
         first = len(self.pool) + np.cumsum(count) - count
         self.pool = np.concatenate([self.pool, *ids])
         keys, first, count = np.concatenate([self.keys, keys]), np.concatenate([self.first, first]), np.concatenate([self.count, count])
@@ -79,8 +94,17 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; number of ids of each text)."""
-        start, end, of = tb.word_spans(data, offsets, tb.NON_SPACE)
-        keys, one, back = np.unique(tb.span_hashes(data, start, end), return_index=True, return_inverse=True)
+        special = self.hint in data.tobytes()
+        if special:
+            start, end, of = tb.word_spans(data, offsets, tb.NON_SPACE)
+        else:
+            data = tb.lowered(data)
+            start, end, _ = tb.word_spans(data, offsets, tb.NON_SPACE)
+            cut = 1 + np.flatnonzero(_LETTER[data[:-1]] & _STOP[data[1:]])
+            start, end = _with(start, cut, len(data)), _with(end, cut, len(data))
+            of = np.searchsorted(start, offsets)
+        keys = tb.span_hashes(data, start, end)
+        keys, one, back = np.unique(tb.mix(keys, 5) if special else keys, return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > REMEMBERED:
             self.clear()
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
