@@ -162,7 +162,7 @@ def document_summary(docs: DataFrame, key: str, lex0: DataFrame, mode: str = "sp
         F.sum("syllable_count").alias("total_syllables"),
         F.sum("word_tokens").alias("total_word_tokens"),
         F.sum("dictionary_words").alias("dictionary_word_tokens"),
-        F.sum(F.when(F.col("syllable_count") > 0, F.col("regularity"))).alias("_sum"),
+        F.sum(F.when(F.col("syllable_count") > 0, F.round(F.col("regularity") * 10000).cast("long"))).alias("_sum"),
         F.count(F.when(F.col("syllable_count") > 0, 1)).alias("_n"),
     )
     full = own.join(dominant_meter(scans, key), key, "left")
@@ -170,6 +170,6 @@ def document_summary(docs: DataFrame, key: str, lex0: DataFrame, mode: str = "sp
         key, "line_count", "non_empty_line_count", "total_syllables", "total_word_tokens", "dictionary_word_tokens",
         F.when(F.col("total_word_tokens") > 0, round4(F.col("dictionary_word_tokens") / F.col("total_word_tokens"))).otherwise(F.lit(1.0)).alias("dictionary_coverage"),
         (F.round(F.col("total_syllables") * F.lit(10000.0) / F.col("line_count")) / 10000).alias("mean_syllables_per_line"),
-        F.when(F.col("_n") > 0, round4(F.col("_sum") / F.col("_n"))).otherwise(F.lit(0.0)).alias("mean_meter_regularity"),
+        F.when(F.col("_n") > 0, F.round(F.col("_sum") / F.col("_n")) / 10000).otherwise(F.lit(0.0)).alias("mean_meter_regularity"),
         F.coalesce("meter_name", F.lit("none")).alias("meter_name"), F.coalesce("foot_type", F.lit("none")).alias("foot_type"), F.coalesce("foot_count", F.lit(0)).alias("foot_count"), F.coalesce("supporting_line_count", F.lit(0)).cast("long").alias("supporting_line_count"),
     )
