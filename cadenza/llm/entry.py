@@ -90,4 +90,12 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT h, min(page_id) AS first_id FROM p WHERE strlen(h) >= 100 GROUP BY h)
+SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha256(p.h) AS payload_digest,
+  CASE WHEN p.page_id > m.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id > m.first_id THEN m.first_id END AS refers_to
+FROM p LEFT JOIN m ON m.h = p.h""",
+}
