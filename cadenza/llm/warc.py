@@ -25,7 +25,7 @@ MAGIC = b"WARC/1.1\r\n"
 #: Payloads below this many bytes are always written whole.
 DEDUP_BYTES = 100
 CHUNK_BYTES = 4 << 20
-#: A head is expected to end within so many bytes.
+#: Bytes read at first to find the end of a head; a longer head is read on, twice as far each time.
 HEAD_BYTES = 1 << 16
 #: Pages that revisit another up to which their list is broadcast (about 16 MB); beyond it the pages are shuffled to join.
 REVISITS_BROADCAST = 500_000
@@ -56,7 +56,7 @@ def parse_head(data: bytes, at: int) -> tuple[int, dict[bytes, bytes]] | None:
     """(offset of the content, header fields in lower case) of a head at ``at``; None if it is not well formed."""
     if not data.startswith(MAGIC, at):
         return None
-    end = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
     fields = {}
@@ -70,6 +70,35 @@ def parse_head(data: bytes, at: int) -> tuple[int, dict[bytes, bytes]] | None:
     return end + 4, fields
 
 
+def _to_blank(f, data: bytes, at: int) -> tuple[bytes, int]:
+    """``data``, read on from ``f`` until a blank line follows ``at``, and where that is (-1: not before the end of the file)."""
+    seen = at
+    while (end := data.find(b"\r\n\r\n", seen)) < 0:
+        more = f.read(max(HEAD_BYTES, len(data)))
+        if not more:
+            break
+        seen = max(at, len(data) - 3)
+        data += more
+    return data, end
+
+
+def _ending(data: bytes, first: int, end: int) -> tuple[int, int, int]:
+    """What the heads that end at ``end`` share: (least and greatest offset of their fields for them to be well formed, content length).
+
+    ``first`` is the offset of the fields of the first of them. The last content length counts; without one, or with
+    one that is no number, no head is well formed. Lines are seen once however many heads they are in.
+    """
+    least, most, length, at = first, -1, b"", first
+    for line in data[first:end].split(b"\r\n"):
+        name, colon, value = line.partition(b":")
+        if not colon:
+            least = at + 1
+        elif name.strip().lower() == b"content-length":
+            most, length = at, value.strip()
+        at += len(line) + 2
+    return (least, most, int(length)) if length.isdigit() else (least, -1, 0)
+
+
 def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", ws: Workspace | None = None) -> DataFrame:
     """Write a record per row; one row per file: path, bytes, records.
 
@@ -117,14 +146,20 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
 
 def _candidates(path: str, offset: int, chunk: int, size: int) -> dict[int, int]:
     """Successor of every head that starts in the chunk."""
+    found, end = {}, -1
     with opened(path) as f:
         f.seek(offset)
         data = f.read(min(chunk + HEAD_BYTES, size - offset))
-    found, at = {}, data.find(MAGIC)
-    while 0 <= at < chunk:
-        if (head := parse_head(data, at)) and (end := offset + head[0] + int(head[1][b"content-length"]) + 4) <= size:
-            found[offset + at] = end
-        at = data.find(MAGIC, at + 1)
+        at = data.find(MAGIC)
+        while 0 <= at < chunk:
+            if end < at:
+                data, end = _to_blank(f, data, at)
+                if end < 0:
+                    break
+                least, most, length = _ending(data, at + len(MAGIC), end)
+            if least <= at + len(MAGIC) <= most and (after := offset + end + 4 + length + 4) <= size:
+                found[offset + at] = after
+            at = data.find(MAGIC, at + 1)
     return found
 
 
@@ -189,6 +224,8 @@ def _walk(path: str, size: int, o: int, stop: int):
         while o < stop:
             f.seek(o)
             data = f.read(HEAD_BYTES)
+            if data.startswith(MAGIC):
+                data, _ = _to_blank(f, data, 0)
             head = parse_head(data, 0)
             if head is None:
                 break
@@ -204,7 +241,7 @@ def _walk(path: str, size: int, o: int, stop: int):
             digest = h.get(b"warc-payload-digest", b"").removeprefix(b"sha256:").decode() if revisit else hashlib.sha256(body).hexdigest()
             count = int(h.get(b"x-payload-length", b"0")) if revisit else length
             rows.append((path, o, h.get(b"warc-type", b"").decode(), int(number[1]) if number else None, h[b"warc-target-uri"].decode() if b"warc-target-uri" in h else None, int(refers[1]) if refers else None, None if revisit else body, count, digest))
-            held += length
+            held += head[0] + length
             o += head[0] + length + 4
             if held > 8 << 20 or len(rows) >= 4096:
                 yield batch()

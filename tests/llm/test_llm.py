@@ -317,6 +317,35 @@ def test_warc(spark):
     assert warc.read_warc(warc.write_warc(pages.limit(0))).count() == 0
 
 
+def test_warc_long_url(spark):
+    urls = {0: "http://h/0", 1: "http://h/" + "a" * 100_000, 2: "http://h/2", 3: "http://h/" + "%" * 34_000, 4: "http://h/" + "é\n" * 300_000, 5: "http://h/5"}
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in urls.items()], "page_id long, url string, html string").coalesce(1)
+    files = warc.write_warc(pages)
+    assert files.count() == 1
+    for chunk in (4096, 1 << 22):
+        got = {r.page_id: r for r in warc.read_warc(files, chunk=chunk).collect()}
+        assert set(got) == set(urls)
+        assert all(r.uri == warc._safe(urls[i]).decode() and bytes(r.payload) == b"page %d" % i for i, r in got.items())
+
+
+def test_warc_heads(tmp_path):
+    head = b"WARC/1.1\r\nA: b\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    for data in (
+        head * 3,
+        b"x" + head + b"WARC/1.1\r\n\r\n" + head,
+        b"WARC/1.1\r\nContent-Length: 1\r\na:WARC/1.1\r\nb:1\r\na:" + head,
+        b"WARC/1.1\r\nno colon\r\na:" + head + b"WARC/1.1\r\nContent-Length: 3\r\nb:WARC/1.1\r\nc: 1\r\n\r\nabc\r\n\r\n",
+        b"WARC/1.1\r\nContent-Length: x\r\n\r\n" + head + b"WARC/1.1\r\nContent-Length: 1",
+    ):
+        path = tmp_path / "a.warc"
+        path.write_bytes(data)
+        want = {}
+        for at in range(len(data)):
+            if (got := warc.parse_head(data, at)) and (end := got[0] + int(got[1][b"content-length"]) + 4) <= len(data):
+                want[at] = end
+        assert warc._candidates(str(path), 0, len(data), len(data)) == want
+
+
 def test_mixing(spark):
     texts = [f"w{i} " * (5 + i % 11) for i in range(400)]
     frame = spark.createDataFrame([(i, t, ["a", "a", "a", "a", "b", "c", None][i % 7] if i > 20 else "d") for i, t in enumerate(texts)] + [(900, None, "e"), (901, "", "e")], "doc_id long, text string, source string")
