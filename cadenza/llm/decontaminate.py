@@ -50,7 +50,7 @@ def select_fingerprints(grams: np.ndarray, lo: np.ndarray, hi: np.ndarray, width
 class ItemIndex:
     """The fingerprints of a block of items, sorted for the join."""
 
-    def __init__(self, ids: list[str], texts: list[str], span: int, k: int):
+    def __init__(self, ids: list[str | None], texts: list[str], span: int, k: int):
         self.span, self.k = span, k
         data, offsets = tb.utf8(pa.array(texts, pa.large_string()))
         data = tb.lowered(data)
@@ -67,7 +67,8 @@ class ItemIndex:
             if c == len(kept):
                 kept.append(own)
                 self.ids.append([])
-            self.ids[c].append(name)
+            if name is not None:
+                self.ids[c].append(name)
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by_length: dict[int, list[int]] = {}
         for c, own in enumerate(kept):
@@ -194,7 +195,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     base = out.schema
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # about block_bytes
-        index = spark.sparkContext.broadcast(ItemIndex([r.name for r in own if r.name is not None], [r.text for r in own if r.name is not None], span, k))
+        index = spark.sparkContext.broadcast(ItemIndex([r.name for r in own], [r.text for r in own], span, k))
         where = base.fieldNames().index(text)
 
         def judge(batches, index=index, later=block > 0):

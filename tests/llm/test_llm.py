@@ -160,6 +160,19 @@ def test_decontaminate(spark, block):
     assert all(r.n_hit == 0 and not r.hit_items for r in empty)
 
 
+@pytest.mark.parametrize("block", [1 << 24, 60])
+def test_decontaminate_items_without_id(spark, block):
+    words = [f"w{i}" for i in range(60)]
+    items = [(None, " ".join(words[5:17])), (None, "tiny item"), (3, " ".join(words[30:41])), (None, " ".join(words[30:41])), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(words), " ".join(words[:20]), "a tiny item here", "clean words only", None]
+    got = {r.doc_id: r for r in decontaminate(docs(spark, texts), bench, block_bytes=block).collect()}
+    spans = {i: [tuple(s) for s in r.hit_spans] for i, r in got.items()}
+    assert spans == {0: [(5, 16), (30, 40)], 1: [(5, 16)], 2: [(1, 2)], 3: [], 4: []}
+    assert {i: r.n_hit for i, r in got.items()} == {0: 23, 1: 12, 2: 2, 3: 0, 4: 0}
+    assert {i: list(r.hit_items) for i, r in got.items()} == {0: ["3"], 1: [], 2: [], 3: [], 4: []}
+
+
 def tokenizer():
     import public_tokenizers
 
