@@ -2,7 +2,9 @@
 
 A text's features are the distinct n-grams (4 to 6 code points, A-Z as a-z, white space as blanks) it holds,
 hashed to a fixed number of slots. Each present feature has the value of its log-count ratio: the log of its
-smoothed share among toxic texts over that among others. Logistic regression on those values gives the weights.
+smoothed share among toxic texts over that among others. Logistic regression on those values gives the weights: every
+feature of a training text has one, the penalty keeps those of weak ratios small, and both classes weigh alike however
+few texts one of them has.
 """
 
 from __future__ import annotations
@@ -20,8 +22,6 @@ TRAIN_ROWS = 3_000
 GRAMS = (4, 5, 6)
 SLOTS = 1 << 20
 SMOOTHING = 4.0
-#: Features whose ratio says less than this, or that fewer training texts hold, have no weight.
-LEAST_RATIO, LEAST_TEXTS = 1.0, 5
 _CLEAN = np.arange(256, dtype=np.uint8)
 _CLEAN[65:91] += 32
 _CLEAN[9:14] = 32
@@ -76,36 +76,33 @@ def fit(texts: list[str], labels: list[int], l2: float = 1e-2) -> GramClassifier
     if len(set(labels)) < 2:
         return GramClassifier(np.zeros(SLOTS), 0.0 if not labels else (4.0 if labels[0] else -4.0))
     data, offsets = tb.utf8(pa.array(texts, pa.large_string()))
+    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     held = np.zeros((2, SLOTS))
-
-    def present(keep: np.ndarray | None):
-        for first, _, part, at in tb.runs(data, offsets):
-            key = []
-            for slot, own in grams(part, at):
-                if keep is not None:
-                    own, slot = own[keep[slot]], slot[keep[slot]]
-                key.append(own * SLOTS + slot)
-            key = np.unique(np.concatenate(key)) if key else np.zeros(0, np.int64)
-            yield key // SLOTS + first, key % SLOTS
-
-    for own, slot in present(None):
+    blocks = []  # first text, last + 1, slot of each text's distinct features, their bounds by text
+    for first, last, part, at in tb.runs(data, offsets):
+        key = [own * SLOTS + slot for slot, own in grams(part, at)]
+        key = np.unique(np.concatenate(key)) if key else np.zeros(0, np.int64)  # a feature counts once a text
+        own, slot = key // SLOTS, key % SLOTS
         for c in (0, 1):
-            held[c] += np.bincount(slot[y[own] == c], minlength=SLOTS)
+            held[c] += np.bincount(slot[y[own + first] == c], minlength=SLOTS)
+        blocks.append((first, last, slot.astype(np.int32), np.searchsorted(own, np.arange(last - first + 1))))
     p, q = held[1] + SMOOTHING, held[0] + SMOOTHING * (y == 0).sum() / (y == 1).sum()
     ratio = np.log(p / (y == 1).sum()) - np.log(q / (y == 0).sum())
-    keep = (np.abs(ratio) >= LEAST_RATIO) & (held.sum(axis=0) >= LEAST_TEXTS)
-    pairs = list(present(keep))
-    row, slot = np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
-    names = np.flatnonzero(keep)
-    col = np.searchsorted(names, slot)
-    value = ratio[slot]
-    n = len(y)
+    names = np.flatnonzero(held.sum(axis=0))
+    value = ratio[names]
+    rank = np.zeros(SLOTS, dtype=np.int32)
+    rank[names] = np.arange(len(names))
+    for _, _, slot, _ in blocks:
+        slot[:] = rank[slot]
 
     def loss(v):
-        s = np.bincount(row, weights=value * v[:-1][col], minlength=n) + v[-1]
-        e = 1 / (1 + np.exp(-np.clip(s, -500, 500))) - y
-        g = np.append(np.bincount(col, weights=value * e[row], minlength=len(names)) / n + l2 * v[:-1], e.mean())
-        return (np.logaddexp(0, s) - y * s).mean() + l2 / 2 * (v[:-1] @ v[:-1]), g
+        w, s, g = value * v[:-1], np.full(len(y), v[-1]), np.zeros(len(names))
+        for first, last, col, at in blocks:
+            s[first:last] += np.diff(np.append(0, np.cumsum(w[col]))[at])
+        e = share * (1 / (1 + np.exp(-np.clip(s, -500, 500))) - y)
+        for first, last, col, at in blocks:
+            g += np.bincount(col, weights=np.repeat(e[first:last], np.diff(at)), minlength=len(names))
+        return share @ (np.logaddexp(0, s) - y * s) + l2 / 2 * (v[:-1] @ v[:-1]), np.append(value * g + l2 * v[:-1], e.sum())
 
     v = minimise(loss, np.zeros(len(names) + 1), rounds=80)
     weights = np.zeros(SLOTS)

@@ -300,6 +300,14 @@ def test_classifiers(spark, name, label, fold):
     assert sum(a == b for a, b in out) / len(out) >= 0.95
 
 
+def test_toxic_recall_of_few_labels(spark, sf):
+    got = {r.doc_id: r for r in entry.QUERIES["op7_nb_toxicity"](spark, sf).collect()}
+    known = [(r.toxic, got[r.doc_id]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    toxic = [g.predicted for t, g in known if t == 1]
+    clean = [g.predicted for t, g in known if t == 0]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
 def test_classifiers_odd_input(spark):
     frame = docs(spark, [None, "", "a\n\nb", "x" * 200_000, "same", "same"]).withColumn("score", F.lit("clash"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
