@@ -427,6 +427,43 @@ def test_shards(spark):
     assert shards.shard(docs(spark, texts).limit(0)).count() == 0 and len(shards.shard(docs(spark, ["a", "a", "b"])).collect()) == 3
 
 
+@pytest.mark.parametrize("hot, pairs, triples, alone", [(160, 50, 10, 190), (0, 200, 0, 80), (100, 90, 33, 0)])
+def test_shards_keep_groups_whole(spark, hot, pairs, triples, alone):
+    texts = ["hot"] * hot + [f"p{i // 2}" for i in range(2 * pairs)] + [f"t{i // 3}" for i in range(3 * triples)] + [f"a{i}" for i in range(alone)]
+    got = shards.shard(docs(spark, texts), 8).collect()
+    by = Counter(r.shard for r in got)
+    assert len(got) == len(texts) and set(by) == set(range(8)) and max(by.values()) - min(by.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(by[s])) for s in by)
+    spread = {}
+    for r in got:
+        spread.setdefault(texts[r.doc_id], set()).add(r.shard)
+    most = -(-hot // (len(texts) // 8))
+    assert len(spread.pop("hot", ())) <= most
+    assert sum(len(v) > 1 for v in spread.values()) <= (0 if alone else 8)
+
+
+def test_plan_places_all():
+    rng = random.Random(7)
+    for _ in range(300):
+        room = [rng.randint(0, 20) for _ in range(rng.randint(1, 6))]
+        groups, more = {}, sum(room)
+        while more > 1 and rng.random() < 0.9:
+            n = rng.randint(2, min(more, rng.choice((3, 30))) if more > 2 else 2)
+            groups[n] = groups.get(n, 0) + 1
+            more -= n
+        whole, split, left = shards.plan(groups, room)
+        used = [0] * len(room)
+        for n, a, b, j in whole:
+            used[j] += n * (b - a)
+        for n, _, parts in split:
+            assert sum(k for _, k in parts) == n and len(parts) > 1
+            for j, k in parts:
+                used[j] += k
+        assert [u + x for u, x in zip(used, left)] == room and min(left) >= 0 and len(split) <= len(room)
+        turns = sorted([(n, t) for n, a, b, _ in whole for t in range(a, b)] + [(n, t) for n, t, _ in split])
+        assert turns == sorted((n, t) for n, c in groups.items() for t in range(c))
+
+
 def test_quotas_balance():
     rng = random.Random(6)
     for _ in range(200):
