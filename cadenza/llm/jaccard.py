@@ -42,8 +42,9 @@ CHUNK = 1 << 16
 SHARED = 3
 #: Grams and members of a block of a large group.
 BLOCK_TOKENS, BLOCK_SETS = 1 << 16, 1 << 10
-#: Sets up to this many opened ones are filtered before the shuffle by a broadcast of their 16-byte keys (16 MB).
-KEYS_BROADCAST = 1_000_000
+#: Opened sets are marked in a broadcast table of 256 chunks of so many bits (8 MB, whatever the input), so that most others
+#: stay out of the shuffle; what a shared bit lets through, the join on the key drops.
+MARK_BITS = 1 << 18
 #: Members times grams of a block pair up to which intersections are one matrix product.
 DENSE = 1 << 24
 
@@ -71,6 +72,11 @@ def set_key(grams: np.ndarray) -> bytes | None:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
 
 
+def _mark(key: bytes) -> int:
+    """The key's bit in the table of opened sets."""
+    return key[0] * MARK_BITS + int.from_bytes(key[1:4], "little") % MARK_BITS
+
+
 def group_key(grams: np.ndarray, rank: np.ndarray) -> int:
     """The least hash, under an order of its own, of the grams of at least median rank: similar sets mostly agree in it."""
     own = rank[_slot(grams)]
@@ -243,23 +249,38 @@ class JaccardJoin:
         self.ws.drop("deciding", "grouped", "matrix", "opened")
         return flagged
 
+    def _marks(self, flagged: DataFrame):
+        """Broadcast of the bit table of the opened keys."""
+
+        def mark(batches):
+            chunks: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for key in batch.column(0).to_pylist():
+                    bits = chunks.setdefault(key[0], np.zeros(MARK_BITS // 8, dtype=np.uint8))
+                    at = _mark(key) % MARK_BITS
+                    bits[at >> 3] |= 1 << (at & 7)
+            yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([c.tobytes() for c in chunks.values()], pa.binary())], ["chunk", "bits"])
+
+        parts = flagged.select("key").distinct().repartition(32, F.substring("key", 1, 1)).mapInArrow(mark, "chunk int, bits binary")
+        table = np.zeros(256 * MARK_BITS // 8, dtype=np.uint8)
+        for r in parts.collect():  # the size of the table in all
+            table[r.chunk * MARK_BITS // 8 : (r.chunk + 1) * MARK_BITS // 8] = np.frombuffer(r.bits, dtype=np.uint8)
+        return self.spark.sparkContext.broadcast(table.tobytes())
+
     def links(self, forest: bool = False) -> DataFrame:
         """(a, b, inter, similarity): keys of linked classes, a < b as bytes."""
         n, num, den = self.n, self.num, self.den
         flagged = self._open()
-        wanted = self.ws.table("wanted", flagged.select("key").distinct())
-        count = wanted.count()
-        few = None
-        if count <= KEYS_BROADCAST:
-            few = self.spark.sparkContext.broadcast({bytes(r.key) for r in wanted.collect()})
+        marks = self._marks(flagged)
 
         def sets(batches):
             seen: set[bytes] = set()
+            table = marks.value
             for batch in batches:
                 keys, grams_ = [], []
                 for _, grams in document_sets(batch.column(0), n):
                     key = set_key(grams)
-                    if key is None or key in seen or few is not None and key not in few.value:
+                    if key is None or key in seen or not table[(at := _mark(key)) >> 3] >> (at & 7) & 1:
                         continue
                     if len(seen) >= 200_000:
                         seen.clear()
