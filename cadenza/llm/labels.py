@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cadenza.llm.workspace import Workspace, ship
 
-from cadenza.llm.workspace import ship
+#: A fitted model is sent from its task in pieces of this size.
+PART_BYTES = 1 << 20
 
 
 def held_out(doc_id: str, folds: int, fold: int):
@@ -13,11 +20,10 @@ def held_out(doc_id: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled texts of each class outside the held-out fold, chosen by a hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, y, text): at most ``rows`` labelled texts of each class outside the held-out fold, chosen by a hash of the id.
 
-    Ids with contradicting labels and null labels or texts are left out. The sample is collected: its size is
-    bounded by ``rows``, whatever the tables hold.
+    Ids with contradicting labels and null labels or texts are left out; of rows that repeat an id the least text is taken.
     """
     known = labels.where(~held_out(doc_id, folds, fold) & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
     one = known.groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select("doc_id", "y")
@@ -25,9 +31,28 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int
     for y in (0, 1):
         own = one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(y)), "doc_id").limit(rows)
         picked = own if picked is None else picked.unionByName(own)
-    got = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text")).collect()
-    got.sort(key=lambda r: r.doc_id)
-    return [r.text for r in got], [int(r.y) for r in got]
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("y").cast("int").alias("y"), F.min("text").alias("text"))
+
+
+def fitted(chosen: DataFrame, fit, ws: Workspace):
+    """What ``fit(texts, labels)`` makes of the bounded sample, in one task of an executor; only the model reaches the driver.
+
+    The sample is written first, so a lost executor repeats the fit alone. Texts come in the order of their ids, so that
+    every run fits the same model.
+    """
+
+    def run(batches):
+        rows = sorted((i, y, t) for batch in batches for i, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        texts, marks = [t for _, _, t in rows], [y for _, y, _ in rows]
+        rows.clear()
+        raw = pickle.dumps(fit(texts, marks), protocol=5)
+        parts = [raw[k : k + PART_BYTES] for k in range(0, len(raw), PART_BYTES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["k", "part"])
+
+    kept = ws.table("sample", chosen.select("doc_id", "y", "text"))
+    got = kept.repartition(1).mapInArrow(run, "k int, part binary").collect()  # the size of the model, which is fixed
+    return pickle.loads(b"".join(bytes(r.part) for r in sorted(got, key=lambda r: r.k)))
 
 
 def with_scores(docs: DataFrame, scorer, doc_id: str, text: str, folds: int, fold: int) -> DataFrame:
@@ -35,9 +60,6 @@ def with_scores(docs: DataFrame, scorer, doc_id: str, text: str, folds: int, fol
 
     Result columns replace columns of ``docs`` of the same names.
     """
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
     ship(docs.sparkSession)
     base = docs.drop("score", "predicted", "held_out")
     where = base.schema.fieldNames().index(text)

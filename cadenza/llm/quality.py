@@ -1,10 +1,12 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line is labelled good or bad. A line's features describe the line and its neighbours; a transition
-weight for each pair of labels ties a line to the line before. Training maximises the conditional likelihood
-of the lines of labelled documents, each line bearing its document's label. Scoring computes the forward-
-backward marginals of every line, weighs them by line length and maps their mean to a probability by a
-logistic curve fitted on the same training documents.
+weight for each pair of labels ties a line to the line before. Only documents are labelled, so the lines' own
+labels are estimated first: every line of a good document is good, a bad one holds at least one bad line, and
+which ones is settled by alternating between a line's own probability and a refit (multiple-instance
+learning). Training then maximises the conditional likelihood of those line labels. Scoring computes the
+forward-backward marginals of every line, weighs them by line length and maps their mean to a probability by
+a logistic curve fitted on the same training documents.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ from pyspark.sql import DataFrame
 
 from cadenza.llm import textbytes as tb
 from cadenza.llm.fit import minimise
-from cadenza.llm.labels import sample, with_scores
+from cadenza.llm.labels import fitted, sample, with_scores
+from cadenza.llm.workspace import Workspace
 
 #: Labelled documents of each class that the model is fitted on.
 TRAIN_ROWS = 1_500
 OWN = 12
+#: Rounds of settling the lines' labels, at most.
+SETTLING = 10
 #: Own features, those of the line before and after, a bias and two marks for the first and last line.
 FEATURES = 3 * OWN + 3
 _UPPER, _LOWER_ = tb.byte_class((65, 90)), tb.byte_class((97, 122), (0x80, 0xFF))
@@ -145,18 +150,50 @@ class LineField:
         return 1 / (1 + np.exp(-(a * np.log(m / (1 - m)) + b)))
 
 
+def settle_lines(own: np.ndarray, first: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
+    """Labels of the lines (1 good) from the features of each line alone and the labels of the documents.
+
+    Lines of good documents are good. Of a bad document the lines that the last fit takes for bad are bad, and the
+    likeliest one in any case; the first fit takes all of them. Ends when no label changes.
+    """
+    x = np.concatenate([own, np.ones((len(own), 1))], axis=1)
+    document = np.repeat(np.arange(len(y)), np.diff(first))
+    free = y[document] == 0
+    gold = y[document].copy()
+    per, v = 1.0 / len(first), np.zeros(x.shape[1])
+    for _ in range(SETTLING):
+
+        def loss(v, gold=gold):
+            s = x @ v
+            p = 1 / (1 + np.exp(-np.clip(s, -500, 500)))
+            return (np.logaddexp(0, s) - gold * s).sum() * per + l2 * per / 2 * (v @ v), x.T @ (p - gold) * per + l2 * per * v
+
+        v = minimise(loss, v, rounds=40)
+        s = x @ v
+        worst = np.zeros(len(s), dtype=bool)
+        worst[np.lexsort((s, document))[first[:-1]]] = True  # the likeliest bad line of every document
+        new = np.where(free & ((s < 0) | worst), 0, 1)
+        if (new == gold).all():
+            break
+        gold = new
+    return gold
+
+
 def fit(texts: list[str], labels: list[int], l2: float = 1.0) -> LineField:
     """Fit on texts with labels 0 and 1. With one class only (or none) the model says that class (or one half)."""
     y = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:
         b = 0.0 if not labels else (4.0 if labels[0] else -4.0)
         return LineField(np.zeros((FEATURES, 2)), np.zeros((2, 2)), (0.0, b))
-    data, offsets = tb.utf8(pa.array(texts, pa.large_string()))
-    x, length, first = line_features(data, offsets)
-    gold = np.repeat(y, np.diff(first))
-    inner = np.ones(len(x), dtype=bool)
-    inner[first[:-1]] = False
-    steps = np.array([[(gold[inner] == 0).sum(), 0], [0, (gold[inner] == 1).sum()]], dtype=np.float64)
+    column = pa.array(texts, pa.large_string())
+    parts = [line_features(part, at) for _, _, part, at in tb.runs(*tb.utf8(column))]
+    x = np.concatenate([p[0] for p in parts])
+    lines = np.concatenate([np.diff(p[2]) for p in parts])
+    first = np.concatenate([[0], np.cumsum(lines)])
+    del parts
+    gold = settle_lines(x[:, :OWN], first, y)
+    inner = np.flatnonzero(np.diff(np.repeat(np.arange(len(y)), lines), prepend=-1) == 0)
+    steps = np.bincount(2 * gold[inner - 1] + gold[inner], minlength=4).reshape(2, 2).astype(np.float64)
     per = 1.0 / len(first)
 
     def loss(v):
@@ -169,7 +206,7 @@ def fit(texts: list[str], labels: list[int], l2: float = 1.0) -> LineField:
 
     v = minimise(loss, np.zeros(FEATURES + 4), rounds=60)
     model = LineField(np.stack([np.zeros(FEATURES), v[:FEATURES]], axis=1), v[FEATURES:].reshape(2, 2), (1.0, 0.0))
-    m = np.clip(model.means(pa.array(texts, pa.large_string())), 1e-6, 1 - 1e-6)
+    m = np.clip(model.means(column), 1e-6, 1 - 1e-6)
     m = np.log(m / (1 - m))
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
 
@@ -190,5 +227,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
     ``rows`` labelled documents of each class. Null and empty texts are one empty line and get its score; every
     row is scored, repeated ones alike. Without labels every score is one half.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, label, folds, fold, rows, doc_id, text)))
+    spark = docs.sparkSession
+    chosen = sample(docs, labels, label, folds, fold, rows, doc_id, text)
+    model = spark.sparkContext.broadcast(fitted(chosen, fit, Workspace(spark, "quality")))
     return with_scores(docs, lambda column: model.value(column), doc_id, text, folds, fold)

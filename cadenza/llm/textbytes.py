@@ -54,12 +54,15 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        full = np.full(max(n, 2 * RUN_BYTES), base, dtype=np.uint64)
-        full[0] = 1
-        have = _powers[base] = np.cumprod(full, dtype=np.uint64) if len(full) <= 8 * RUN_BYTES else np.cumprod(full, dtype=np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64. Tables for a run are kept, longer ones (of one long text) are made anew."""
+    kept = 2 * RUN_BYTES
+    have = _powers.get(base) if n <= kept else None
+    if have is None:
+        have = np.full(max(n, kept), base, dtype=np.uint64)
+        have[0] = 1
+        have = np.cumprod(have, dtype=np.uint64)
+        if n <= kept:
+            _powers[base] = have
     return have[:n]
 
 
