@@ -5,9 +5,10 @@ rightmost one among equal hashes). Two texts that share ``span`` words share suc
 same k-gram of it: joining document fingerprints with item fingerprints meets every shared span. Each meeting
 is extended to the span's words, which must be equal, so a hit is exact up to 64-bit word hashes.
 
-The benchmark is cut into blocks of bounded size. A block's fingerprints are broadcast and joined inside the
-task that reads the documents, so documents are never shuffled; further blocks are further passes chained
-over the same rows.
+The benchmark's distinct texts are cut into blocks of bounded size. A block's fingerprints are broadcast and joined
+inside the task that reads the documents, so documents are not shuffled. A benchmark of several blocks is as many
+passes, one block at a time: documents are written once with row ids, a pass leaves a row for each document that it
+hits, and those rows are merged and joined with the documents at the end.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.llm import textbytes as tb
-from cadenza.llm.workspace import ship
+from cadenza.llm.columns import unused
+from cadenza.llm.workspace import Workspace, ship
 
 #: UTF-8 bytes of item texts in a block that is broadcast.
 BLOCK_BYTES = 16 << 20
@@ -50,25 +52,25 @@ def select_fingerprints(grams: np.ndarray, lo: np.ndarray, hi: np.ndarray, width
 class ItemIndex:
     """The fingerprints of a block of items, sorted for the join."""
 
-    def __init__(self, ids: list[str | None], texts: list[str], span: int, k: int):
+    def __init__(self, ids: list[list[str]], texts: list[str], span: int, k: int):
+        """``ids``: the names of the items that have each text."""
         self.span, self.k = span, k
         data, offsets = tb.utf8(pa.array(texts, pa.large_string()))
         data = tb.lowered(data)
         start, end, of = tb.word_spans(data, offsets, tb.ALNUM)
         words = tb.span_hashes(data, start, end)
         classes: dict[bytes, int] = {}
-        self.ids: list[list[str]] = []
+        self.ids: list[set[str]] = []
         kept: list[np.ndarray] = []
-        for i, name in enumerate(ids):
+        for i, names in enumerate(ids):
             own = words[of[i] : of[i + 1]]
             if not len(own):
                 continue
             c = classes.setdefault(own.tobytes(), len(kept))  # items of equal words are one class
             if c == len(kept):
                 kept.append(own)
-                self.ids.append([])
-            if name is not None:
-                self.ids[c].append(name)
+                self.ids.append(set())
+            self.ids[c].update(names)
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by_length: dict[int, list[int]] = {}
         for c, own in enumerate(kept):
@@ -152,9 +154,9 @@ def _batch(column: pa.Array, index: ItemIndex) -> tuple[list[int], list[list[str
         hit = np.cumsum(edge[:-1]) > 0
         text = np.searchsorted(of, pos, "right") - 1
         pairs = np.unique(np.stack([text, item]), axis=1) if len(pos) else np.zeros((2, 0), np.int64)
-        named: dict[int, list[str]] = {}
+        named: dict[int, set[str]] = {}
         for t, c in pairs.T.tolist():
-            named.setdefault(t, []).extend(index.ids[c])
+            named.setdefault(t, set()).update(index.ids[c])
         for i in range(last - first):
             a, b = int(of[i]), int(of[i + 1])
             n_words.append(b - a)
@@ -167,9 +169,9 @@ def _batch(column: pa.Array, index: ItemIndex) -> tuple[list[int], list[list[str
     return n_words, items, spans
 
 
-def _merged(x: list[tuple[int, int]], y: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a, b in sorted([*x, *y]):
+    for a, b in sorted(ranges):
         if out and a <= out[-1][1] + 1:
             out[-1] = out[-1][0], max(out[-1][1], b)
         else:
@@ -177,37 +179,64 @@ def _merged(x: list[tuple[int, int]], y: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def _results(words, names, ranges) -> list[pa.Array]:
+    """The columns of RESULT."""
+    hit = [sum(b - a + 1 for a, b in r) for r in ranges]
+    spans = pa.array([[{"first": a, "last": b} for a, b in r] for r in ranges], _SPANS)
+    return [pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(names, pa.list_(pa.string())), spans]
+
+
+def _joined_in_scan(docs: DataFrame, items: DataFrame, text: str, span: int, k: int) -> DataFrame:
+    """``docs`` with RESULT from the items of one block."""
+    own = items.collect()  # about a block's bytes
+    index = docs.sparkSession.sparkContext.broadcast(ItemIndex([r.names for r in own], [r.text for r in own], span, k))
+    where = docs.schema.fieldNames().index(text)
+
+    def judge(batches):
+        for batch in batches:
+            found = _batch(batch.column(where).cast(pa.large_string()), index.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_results(*found)], [*batch.schema.names, *RESULT])
+
+    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in RESULT.items())]))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` with n_words, n_hit (words inside any window of an item), hit_items (names of those
-    items, sorted as strings) and hit_spans (first and last word of each hit range, from 0).
+    items, each once, sorted as strings) and hit_spans (first and last word of each hit range, from 0).
 
     A window is ``span`` consecutive words of an item; an item of fewer words, but not none, is one window.
     Null and wordless texts, of documents or items, have no words and no hits; items without an id are matched
-    but not named. Repeated documents are judged one by one; items of equal words all count. Columns of
-    ``docs`` with the names of results are replaced. An empty benchmark gives zeros.
+    but not named, and repeated item rows count once. Repeated documents are judged one by one, long texts whole;
+    items of equal words all count. Columns of ``docs`` with the names of results are replaced. An empty benchmark
+    gives zeros, an empty table of documents no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
+    items = items.groupBy("text").agg(F.collect_set("name").alias("names"))  # without null names
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = docs.drop(*RESULT)
-    base = out.schema
+    base = docs.drop(*RESULT)
+    if blocks == 1:
+        return _joined_in_scan(base, items, text, span, k)
+    ws = Workspace(spark, "decontaminate")
+    (row,) = unused(base, "row")
+    numbered = ws.table("documents", base.withColumn(row, F.monotonically_increasing_id()))
+    narrow = numbered.select(F.col(f"`{row}`").alias("row"), F.col(f"`{text}`").alias("text"))
+    items, hits, words = ws.table("items", items), None, None
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # about block_bytes
-        index = spark.sparkContext.broadcast(ItemIndex([r.name for r in own], [r.text for r in own], span, k))
-        where = base.fieldNames().index(text)
-
-        def judge(batches, index=index, later=block > 0):
-            for batch in batches:
-                words, names, ranges = _batch(batch.column(where).cast(pa.large_string()), index.value)
-                if later:
-                    names = [sorted([*a, *b]) for a, b in zip(batch.column("hit_items").to_pylist(), names, strict=True)]
-                    ranges = [_merged([(s["first"], s["last"]) for s in a], b) for a, b in zip(batch.column("hit_spans").to_pylist(), ranges, strict=True)]
-                hit = [sum(b - a + 1 for a, b in r) for r in ranges]
-                held = [batch.column(i) for i in range(len(base))]
-                spans = pa.array([[{"first": a, "last": b} for a, b in r] for r in ranges], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([*held, pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(names, pa.list_(pa.string())), spans], [*base.fieldNames(), *RESULT])
-
-        out = out.mapInArrow(judge, T.StructType([*base.fields, *(T.StructField(c, t) for c, t in RESULT.items())]))
-    return out
+        one = _joined_in_scan(narrow, items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block), "text", span, k)
+        one = ws.table(f"hits-{block}", one.where("n_hit > 0" if block else "true").select("row", "n_words", "hit_items", "hit_spans"))  # the first has every document's words
+        hits = one if hits is None else hits.unionByName(one)
+    merged = hits.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("items"), F.flatten(F.collect_list("hit_spans")).alias("spans"))  # of one document
+
+    def sums(batches):
+        for batch in batches:
+            ranges = [_merged([(s["first"], s["last"]) for s in r]) for r in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *_results(batch.column("n_words").to_pylist(), batch.column("items").to_pylist(), ranges)], ["row", *RESULT])
+
+    found = merged.mapInArrow(sums, T.StructType([T.StructField("row", T.LongType()), *(T.StructField(c, t) for c, t in RESULT.items())])).withColumnRenamed("row", row)
+    return numbered.join(found, row).select(*(f"`{c}`" for c in base.columns), *RESULT)
