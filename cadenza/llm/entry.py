@@ -58,9 +58,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from cadenza.llm.mixing import mix
+    from cadenza.llm.tokencount import count_tokens
 
-    return mix(read(spark, sf_dir, "documents"), repeats=2.0)
+    counted = count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=("source",))
+    return mix(counted, repeats=2.0, n_tokens=F.col("n_tokens") + 1)
 
 
 def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,7 +114,7 @@ def _ordered(grams: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndar
 class JaccardJoin:
     """All links of ``docs`` at a Jaccard similarity of at least ``threshold`` over ``n``-word shingles.
 
-    docs: a DataFrame with an integer id column and a text column (names are parameters; more columns are
+    docs: a DataFrame with an id column of an ordered type and a text column (names are parameters; more columns are
     ignored). Null, empty and wordless texts have the empty set and no link. Rows that repeat an id or a
     text are members of one class per distinct set.
 
@@ -130,7 +130,7 @@ class JaccardJoin:
         if not 0 < share <= 1 or n < 1:
             raise ValueError("threshold lies in (0, 1] and n is at least 1")
         self.spark, self.n, self.num, self.den = docs.sparkSession, n, share.numerator, share.denominator
-        self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
         self.ws = Workspace(self.spark, "jaccard")
         self._first = self._scan()
 
@@ -139,9 +139,9 @@ class JaccardJoin:
         n = self.n
 
         def scan(batches):
-            counts = np.zeros(COUNTERS, dtype=np.uint32)
+            counts, kind = np.zeros(COUNTERS, dtype=np.uint32), None
             for batch in batches:
-                size, key = [], []
+                kind, size, key = batch.schema.field(0).type, [], []
                 for _, grams in document_sets(batch.column(1), n):
                     counts[_slot(grams)] += 1
                     size.append(len(grams))
@@ -152,9 +152,9 @@ class JaccardJoin:
             if chunks:
                 held = [counts[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in chunks]
                 void = len(chunks)
-                yield pa.RecordBatch.from_arrays([pa.nulls(void, pa.int64()), pa.nulls(void, pa.int64()), pa.nulls(void, pa.binary()), pa.array(chunks, pa.int32()), pa.array(held, pa.binary())], ["doc_id", "n", "key", "chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(void, kind), pa.nulls(void, pa.int64()), pa.nulls(void, pa.binary()), pa.array(chunks, pa.int32()), pa.array(held, pa.binary())], ["doc_id", "n", "key", "chunk", "counts"])
 
-        return self.ws.table("scan", self.docs.mapInArrow(scan, "doc_id long, n long, key binary, chunk int, counts binary"))
+        return self.ws.table("scan", self.docs.mapInArrow(scan, f"doc_id {self.docs.schema['doc_id'].dataType.simpleString()}, n long, key binary, chunk int, counts binary"))
 
     def members(self) -> DataFrame:
         return self._first.where("chunk IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "key")
@@ -217,6 +217,7 @@ class JaccardJoin:
         c = d.groupBy("key").agg(F.first("n").alias("n"), F.first("g").alias("g"))
         c = self.ws.table("grouped", c)
         wide = c.groupBy("g").agg(F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK_TOKENS), F.count("*") / F.lit(BLOCK_SETS))).alias("cuts")).where("cuts > 1")
+        wide = self.ws.table("wide", wide)  # few rows; written, so that Spark knows whether they may be broadcast
         placed = c.join(wide, "g", "left").withColumn("b", F.xxhash64("g", F.pmod(F.xxhash64("key"), F.coalesce("cuts", F.lit(1)))))
         blocked = self.ws.table("blocks", placed.select("key", "b"))
         cells = d.join(blocked, "key").select(F.explode("tokens").alias("token"), "b", "n", F.xxhash64("key").alias("k"))

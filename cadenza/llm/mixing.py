@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.llm.columns import unused
 from cadenza.llm.prefix import running
 from cadenza.llm.workspace import Workspace
 
@@ -83,44 +84,64 @@ def plan(units: DataFrame, ws: Workspace, repeats: float | None, entropy: float
     return ws.table("plan", sources.select("source", "tokens", weight.alias("weight"), spend.alias("spend"))), a, spent
 
 
-def mix(docs: DataFrame, repeats: float | None = 2.0, entropy: float | None = None, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 1, doc_id: str = "doc_id", source: str = "source", text: str = "text", n_tokens: Column | None = None) -> DataFrame:
-    """The mixture in order: doc_id, source, epoch (repetition from 0), block, position in the block, n_tokens.
+def _taken(docs: DataFrame, ws: Workspace, repeats, entropy, budget, seed, doc_id, source, text, n_tokens) -> tuple[DataFrame, float]:
+    """The units of the mixture (doc_id, source, n_tokens, epoch, order, progress, spend), and its budget.
 
-    Exactly one of ``repeats`` and ``entropy`` is given. Without ``budget`` no document is left out. Rows of one
-    id and source are one unit, taken together. A null source is a source of its own; null and empty texts count
-    one token. An empty table gives no rows.
+    ``order`` is a unit's place in its source's permutation of that epoch.
     """
     if (repeats is None) == (entropy is None):
         raise ValueError("give repeats or entropy")
-    spark = docs.sparkSession
-    ws = Workspace(spark, "mix")
-    units = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), (n_tokens if n_tokens is not None else word_tokens(text)).alias("n_tokens"))
+    units = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), (n_tokens if n_tokens is not None else word_tokens(text)).cast("long").alias("n_tokens"))
     units = ws.table("units", units.groupBy("doc_id", "source").agg(F.sum("n_tokens").alias("n_tokens")))
     p, _, spent = plan(units, ws, repeats, entropy, budget)
-    blocks = max(1, round(spent / block_tokens))
     joined = units.join(p.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     copies = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("spend") / F.col("tokens") - 1e-9).cast("int") - 1, F.lit(0)))))
-    order = F.xxhash64(F.lit(seed), "doc_id", F.coalesce("source", F.lit("")), "source", "epoch")
-    cut = _by_source(copies, order, ws, units.count())
+    keyed = copies.withColumn("_source", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))).withColumn("order", _order(seed, F.col("doc_id"), F.col("source"), F.col("epoch")))
+    cut, _ = running(keyed, ["_source", "epoch"], F.col("order"), F.col("n_tokens"), "before", max(1, units.count()), ws, "sums")
     progress = F.col("epoch") * F.col("tokens") + F.col("before")
-    kept = cut.withColumn("progress", progress).where(F.col("progress") < F.col("spend") - 1e-6)
+    return cut.withColumn("progress", progress).where(F.col("progress") < F.col("spend") - 1e-6), spent
+
+
+def _order(seed: int, doc_id: Column, source: Column, epoch: Column) -> Column:
+    """A unit's place in the permutation of its source: equal units of one id and source have one place."""
+    return F.xxhash64(F.lit(seed), doc_id, F.coalesce(source, F.lit("")), source, epoch.cast("int"))
+
+
+def mix(docs: DataFrame, repeats: float | None = 2.0, entropy: float | None = None, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 1, doc_id: str = "doc_id", source: str = "source", text: str = "text", n_tokens: Column | None = None) -> DataFrame:
+    """The mixture in order: doc_id, source, epoch (repetition from 0), block, position in the block, n_tokens.
+
+    Exactly one of ``repeats`` and ``entropy`` is given. ``n_tokens`` is a column of token counts of at least 1; without
+    it a document's tokens are its words and one. Without ``budget`` no document is left out. Rows of one id and source
+    are one unit, taken together; a null id is an id like others. A null source is a source of its own; null and empty
+    texts count one token; a text longer than a block is taken whole. Units of equal hash (ties of the permutation) stand
+    in the order of id, source and epoch within a block. Other columns of any name are ignored. An empty table gives no
+    rows.
+    """
+    ws = Workspace(docs.sparkSession, "mix")
+    kept, spent = _taken(docs, ws, repeats, entropy, budget, seed, doc_id, source, text, n_tokens)
+    blocks = max(1, round(spent / block_tokens))
     block = F.least(F.floor(F.col("progress") / F.col("spend") * blocks), F.lit(blocks - 1)).cast("long")
     placed = kept.withColumn("block", block)
     inside = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "source", "epoch"), "doc_id", "source", "epoch")
     return placed.withColumn("position", F.row_number().over(inside) - 1).select("doc_id", "source", "epoch", "block", "position", "n_tokens")
 
 
-def _by_source(copies: DataFrame, order: Column, ws: Workspace, rows: int) -> DataFrame:
-    """Running token sums per source and epoch; null sources are kept apart by a key that is never null."""
-    keyed = copies.withColumn("_source", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
-    out, _ = running(keyed, ["_source", "epoch"], order, F.col("n_tokens"), "before", max(1, rows), ws, "sums")
-    return out.drop("_source")
-
+def copies_of(docs: DataFrame, repeats: float | None = 2.0, entropy: float | None = None, budget: int | None = None, seed: int = 1, doc_id: str = "doc_id", source: str = "source", text: str = "text", counted: DataFrame | None = None) -> DataFrame:
+    """``docs`` with every row as often as the mixture takes it; columns as they were, whatever their names.
 
-def copies_of(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every row as often as the mixture takes it; columns as they were."""
+    ``counted(doc_id, source, n_tokens)`` has the token counts of at least 1 of every row; without it words are counted.
+    A source's units are taken whole for some epochs and, in the last one, up to a place of its permutation. So a row per
+    source (epochs, place) tells every document its copies, and texts are joined with that small table only.
+    """
     ws = Workspace(docs.sparkSession, "copies")
-    taken = ws.table("taken", mix(docs, **options).groupBy("doc_id", "source").agg(F.count("*").cast("int").alias("_n")))
-    t = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_n")
-    joined = docs.join(t, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    if counted is None:
+        kept, _ = _taken(docs, ws, repeats, entropy, budget, seed, doc_id, source, text, None)
+    else:
+        kept, _ = _taken(counted, ws, repeats, entropy, budget, seed, "doc_id", "source", "", F.col("n_tokens"))
+    of, whole, cut, n = unused(docs, "source_of_mixture", "whole_epochs", "last_place", "copies")
+    ends = kept.groupBy("source").agg(F.max(F.struct("epoch", "order")).alias("end"))
+    ends = ws.table("ends", ends.select(F.col("source").alias(of), F.col("end.epoch").alias(whole), F.col("end.order").alias(cut)))
+    joined = docs.join(ends, F.col(source).eqNullSafe(F.col(of)))
+    last = (_order(seed, F.col(doc_id), F.col(source), F.col(whole)) <= F.col(cut)).cast("int")
+    counted = joined.withColumn(n, F.col(whole) + last).where(F.col(n) > 0)
+    return counted.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(f"`{c}`" for c in docs.columns))

@@ -4,7 +4,9 @@ A text's pre-tokens are its runs of non-white-space bytes, each with the word ma
 of a batch are put in a trie; the forward score of a prefix (the best sum of piece scores over its segmentations,
 fewest pieces among equals) is computed once for all pre-tokens that share it, level by level, and the number of
 pieces is stored where a pre-token ends. A byte that no piece covers is a piece of its own at a score below all
-others. Everything happens in the task that reads the texts: nothing is shuffled.
+others. The trie is as deep as most pre-tokens are long; what a longer one holds beyond that depth goes on alone from
+its node's scores, so one very long pre-token costs its own length only. Everything happens in the task that reads the
+texts: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.llm import textbytes as tb
 from cadenza.llm.workspace import ship
@@ -20,6 +23,10 @@ from cadenza.llm.workspace import ship
 #: Distinct pre-tokens a task remembers; beyond that it starts anew, which changes speed only.
 REMEMBERED = 1_000_000
 RUN = 4 << 20
+#: Levels of the trie.
+DEPTH = 256
+#: Ends of pieces looked up at once in the rest of a long pre-token.
+STRETCH = 1 << 18
 MARK = "▁".encode()
 
 
@@ -56,12 +63,12 @@ class TrieCounter:
         shared = np.zeros(n, dtype=np.int64)  # bytes in common with the pre-token before
         open_ = np.arange(1, n)
         depth = 0
-        while len(open_):
+        while len(open_) and depth < DEPTH:
             open_ = open_[(size[open_] > depth) & (size[open_ - 1] > depth)]
             open_ = open_[flat[start[open_] + depth] == flat[start[open_ - 1] + depth]]
             depth += 1
             shared[open_] = depth
-        longest = int(size.max()) if n else 0
+        longest = min(DEPTH, int(size.max())) if n else 0
         keep = self.lengths[-1] + 1
         score = {0: np.zeros(n)}
         pieces = {0: np.zeros(n, dtype=np.int64)}
@@ -91,10 +98,38 @@ class TrieCounter:
             score.pop(d - keep, None), pieces.pop(d - keep, None)
             done = alive[size[alive] == d]
             result[done] = made[done]
+        for i in np.flatnonzero(size > DEPTH).tolist():
+            result[i] = self._rest(flat, int(start[i]), int(size[i]), [(float(score[d][i]), int(pieces[d][i])) for d in range(max(0, DEPTH - keep + 1), DEPTH + 1)])
         out = np.zeros(n, dtype=np.int64)
         out[order] = result
         return out
 
+    def _rest(self, flat: np.ndarray, start: int, size: int, last: list[tuple[float, int]]) -> int:
+        """Pieces of a pre-token longer than the trie is deep, from (score, pieces) of its last prefixes in the trie."""
+        for lo in range(DEPTH + 1, size + 1, STRETCH):
+            ends = np.arange(lo, min(lo + STRETCH, size + 1))
+            found = []  # (end, length, score) of every piece that ends in the stretch
+            for m in self.lengths:
+                at = ends[ends >= m]
+                keys = self._keys(flat, start + at - m, m)
+                maybe = np.flatnonzero(self.filter[(keys & tb.U64((1 << 20) - 1)).astype(np.int64)])
+                place = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
+                ok = self.keys[place] == keys[maybe]
+                found.append((at[maybe[ok]], np.full(int(ok.sum()), m), self.scores[place[ok]]))
+            end, m, gain = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(end, kind="stable")
+            first = np.searchsorted(end[order], np.arange(lo, ends[-1] + 2)).tolist()
+            m, gain = m[order].tolist(), gain[order].tolist()
+            for k in range(len(ends)):
+                best, least = last[-1][0] + self.single, last[-1][1] + 1
+                for j in range(first[k], first[k + 1]):
+                    total, used = last[-m[j]][0] + gain[j], last[-m[j]][1] + 1
+                    if total > best or total == best and used < least:
+                        best, least = total, used
+                last.append((best, least))
+            del last[: -self.lengths[-1] - 1]
+        return last[-1][1]
+
     def _keys(self, flat: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
         """Hashes of the m bytes from each place."""
         if not hasattr(self, "_flat") or self._flat is not flat:
@@ -122,11 +157,15 @@ class TrieCounter:
         return np.diff(of), upto[of[1:]] - upto[of[:-1]]
 
 
-def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words (pre-tokens) and n_tokens of every row. Null and empty texts have none; repeated rows are
-    counted each; other columns are ignored."""
+def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in ``keep``, n_words (pre-tokens) and n_tokens of every row.
+
+    Null, empty and blank texts have none; long texts and pre-tokens are counted whole; repeated rows are counted each;
+    equally good segmentations count as the one of fewest pieces; other columns of any name are ignored. An empty table
+    gives no rows.
+    """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *keep)
 
     def run(batches):
         counter = TrieCounter(vocabulary(model))
@@ -137,6 +176,6 @@ def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
                 w, t = counter.texts(part, at)
                 words.append(w)
                 tokens.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(words), pa.int64()), pa.array(np.concatenate(tokens), pa.int64())], ["doc_id", "n_words", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(name) for name in keep), pa.array(np.concatenate(words), pa.int64()), pa.array(np.concatenate(tokens), pa.int64())], ["doc_id", *keep, "n_words", "n_tokens"])
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_words long, n_tokens long")
+    return rows.mapInArrow(run, T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField(c, T.LongType()) for c in ("n_words", "n_tokens")]))

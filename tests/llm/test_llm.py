@@ -171,6 +171,10 @@ def test_decontaminate_items_without_id(spark, block):
     assert spans == {0: [(5, 16), (30, 40)], 1: [(5, 16)], 2: [(1, 2)], 3: [], 4: []}
     assert {i: r.n_hit for i, r in got.items()} == {0: 23, 1: 12, 2: 2, 3: 0, 4: 0}
     assert {i: list(r.hit_items) for i, r in got.items()} == {0: ["3"], 1: [], 2: [], 3: [], 4: []}
+    again = spark.createDataFrame([(7, " ".join(words[5:17])), (7, " ".join(words[5:17])), (7, " ".join(words[30:41])), (8, " ".join(words[30:41]))], "item_id long, text string")
+    named = decontaminate(docs(spark, [texts[0], texts[0]]).withColumn("row", F.lit("clash")), again, block_bytes=block)
+    assert [(r.row, list(r.hit_items), r.n_hit) for r in named.collect()] == [("clash", ["7", "8"], 23)] * 2
+    assert decontaminate(docs(spark, texts).limit(0), again, block_bytes=block).count() == 0
 
 
 def tokenizer():
@@ -214,7 +218,7 @@ def test_token_counts(spark):
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    texts = corpus(6, 20) + ["日本語 😀😀 naïve ÀÉ \x00 antidisestablishmentarianism " * 3]
+    texts = corpus(6, 20) + ["日本語 😀😀 naïve ÀÉ \x00 antidisestablishmentarianism " * 3, "same", "same", "internationally" * 60, "internationally" * 60 + "x", "日本" * 200]
     pieces = dict(tokencount.vocabulary(path))
     single, longest = min(pieces.values()) - 10, max(map(len, pieces))
 
@@ -235,6 +239,23 @@ def test_token_counts(spark):
         for x in w:
             memo.setdefault(x, best(tokencount.MARK + x.encode())) if x not in memo else None
         assert (got[i].n_words, got[i].n_tokens) == (len(w), sum(memo[x] for x in w))
+    assert tokencount.count_tokens(docs(spark, texts).limit(0), path).count() == 0
+    clash = docs(spark, texts[:9]).withColumn("n_tokens", F.lit("clash")).withColumn("n_words", F.lit(None))
+    assert sorted((r.doc_id, r.n_tokens) for r in tokencount.count_tokens(clash, path).collect()) == [(i, got[i].n_tokens) for i in range(9)]
+    kept = tokencount.count_tokens(docs(spark, texts[:9]), path, keep=("source",))
+    assert kept.columns == ["doc_id", "source", "n_words", "n_tokens"] and kept.where("doc_id = 1").first().source == "s1"
+
+
+def test_token_count_of_a_long_word():
+    import time
+
+    import public_tokenizers
+
+    counter = tokencount.TrieCounter(tokencount.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    words = [f"w{i}ing".encode() for i in range(5_000)]
+    began = time.process_time()
+    counter.count([*words, bytes(random.Random(3).choices(b"abcdefghijklmnop/+0123", k=400_000))])
+    assert time.process_time() - began < 30  # some microseconds a byte, whatever else is counted
 
 
 def test_mih(spark):
@@ -262,12 +283,55 @@ def test_mih(spark):
     assert mih.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_mih_radius():
+def test_mih_growing_radius():
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 256, (400, 5), dtype=np.uint8)
-    index = mih.MultiIndex(codes)
-    for r in (0, 3, 7, 12, 19, 40):
-        assert index.within(codes[0], r).tolist() == np.flatnonzero(mih.distances(codes[0], codes) <= r).tolist()
+    far = mih.distances(codes[0], codes)
+    given, last = [], -1
+    for radius, at, met in mih.MultiIndex(codes).growing(codes[0]):
+        given += at.tolist()
+        assert radius > last and sorted(given) == np.flatnonzero(far <= radius).tolist() and met >= len(given)
+        last = radius
+    assert len(given) == 400
+
+
+def recall(spark, frame, every, k):
+    got = {}
+    for r in mih.search(frame, every, k).collect():
+        got.setdefault(r.query_id, []).append(r)
+    rows = frame.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    hit = want = 0
+    for q, mine in got.items():
+        s = mih.inner(x, x[ids == q][0])
+        s[ids == q] = -np.inf
+        best = set(ids[np.lexsort((ids, -s))[:k]].tolist())
+        hit, want = hit + len(best & {r.vec_id for r in mine}), want + len(best)
+    return hit / want, sum(mine[0].probed for mine in got.values()) / (len(got) * len(rows))
+
+
+def test_mih_recall_on_embeddings(spark):
+    found, _ = recall(spark, spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), 20, 20)
+    assert found >= 0.9
+
+
+def test_mih_probes_little_of_clustered_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal((200, 32))
+    x = np.repeat(centre, 30, axis=0) + 0.1 * rng.standard_normal((6000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").withColumn("rb", F.lit("clash"))
+    found, share = recall(spark, frame, 60, 20)
+    print(found, share)
+    assert found >= 0.9 and share < 0.35
+    monkeypatch.setattr(mih, "ROW_BLOCK", 700)
+    assert recall(spark, frame, 60, 20)[0] >= 0.9
+
+
+def test_mih_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.0, 1.0]), (None, [1.0, 1.0])]
+    got = mih.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 3).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 0.5), (0, 2, 1, 0.5), (0, 3, 2, 0.0)]
 
 
 def test_line_field_marginals():
@@ -405,8 +469,17 @@ def test_mixing(spark):
     goal = 1.2
     ent = mixing.mix(frame, repeats=None, entropy=goal, budget=6000)
     assert ent.count() > 0 and mixing.mix(frame.limit(0)).count() == 0
-    back = mixing.copies_of(frame.withColumn("extra", F.lit(1)))
-    assert Counter(r.doc_id for r in back.collect()) == Counter(r.doc_id for r in got) and back.columns == [*frame.columns, "extra"]
+    names = ["extra", "_s", "_n", "_k", "_d", "epoch", "copies", "Whole_Epochs", "source_of_mixture"]
+    back = mixing.copies_of(frame.withColumns({c: F.lit(1) for c in names}))
+    assert Counter(r.doc_id for r in back.collect()) == Counter(r.doc_id for r in got) and back.columns == [*frame.columns, *names]
+    assert all(r._s == r._k == r.epoch == r.copies == 1 for r in back.collect())
+    odd = frame.unionByName(frame.limit(30)).unionByName(spark.createDataFrame([(None, "x y", "a"), (None, "x y z", None)], frame.schema))
+    once = mixing.copies_of(odd, repeats=1.0)
+    assert Counter(r.doc_id for r in once.collect()) == Counter(r.doc_id for r in odd.collect())
+    assert mixing.copies_of(odd.limit(0)).count() == 0
+    counted = odd.select("doc_id", "source", F.lit(1).alias("n_tokens"))
+    n = Counter(r.source for r in mixing.copies_of(odd, counted=counted).collect())
+    assert set(n) == set(tokens) and all(n[s] >= c for s, c in Counter(r.source for r in odd.collect()).items())
 
 
 def test_shards(spark):
