@@ -10,6 +10,7 @@ from cadenza.functions.dialect import Spark
 from cadenza.operators import prosody, rhymemap
 from cadenza.plans import compare, rhymes
 from cadenza.plans.views import query
+from cadenza.shared import written
 from cadenza.shipping import ship
 from cadenza.sources import lexicon as lx
 
@@ -72,34 +73,46 @@ class Engine:
         return self._tables
 
     def _run(self, steps: list[str], select: str, **given: DataFrame) -> DataFrame:
+        """``select`` over the steps, the index tables and the given ones; what it does not use is not planned."""
         vd = self.spark.createDataFrame(ph.vowel_distances(), "a string, b string, d int")
-        given = {n: self._side(t) for n, t in {"lex": self.lexicon, **self.tables()}.items()} | {"vd": F.broadcast(vd)} | given  # vd has 225 rows
-        used = " ".join([*steps, select])
-        given = {n: t for n, t in given.items() if f" {n} " in f"{used} ".replace(")", " ").replace("\n", " ").replace(",", " ")}
-        return query(self.spark, f"WITH {', '.join([*(f'{n} AS (SELECT * FROM @{n}@)' for n in given), *steps])} {select}", **given)
+        frames = {n: self._side(t) for n, t in {"lex": self.lexicon, **self.tables()}.items()} | {"vd": F.broadcast(vd)} | given  # vd has 225 rows
+        return query(self.spark, f"WITH {', '.join([*(f'{n} AS (SELECT * FROM @{n}@)' for n in frames), *steps])} {select}", **frames)
 
-    def _search(self, words: DataFrame, word: str, limit: int, steps: list[str], select: str) -> DataFrame:
+    def _variants(self, words: DataFrame, word: str, limit: int) -> DataFrame:
+        """The pronunciations of the distinct query words, written: searches use them several times."""
         q = prosody.with_norm(words.select(F.col(word).alias("word")).where("word IS NOT NULL").distinct(), "word").withColumn("k", F.lit(min(limit, rhymes.LIMIT)))
-        return self._run([rhymes.queries(Spark), *steps], select, qn=q)
+        return written(self._run([rhymes.queries(Spark)], "SELECT * FROM qv", qn=q), "query-words")
 
     def perfect_rhymes(self, words: DataFrame, word: str = "word") -> DataFrame:
         """word, pos, match, phonemes, syllables, rhyme_type, confidence: every perfect rhyme."""
-        return self._search(words, word, rhymes.LIMIT, [rhymes.perfect(Spark)], rhymes.described(Spark, "pf", "perfect"))
+        return self._run([rhymes.perfect(Spark)], rhymes.described(Spark, "pf", "perfect"), qv=self._variants(words, word, rhymes.LIMIT))
 
     def slant_rhymes(self, words: DataFrame, limit: int = 20, word: str = "word") -> DataFrame:
-        return self._search(words, word, limit, [rhymes.slant(Spark)], rhymes.described(Spark, "sl", "slant"))
+        return self._run([rhymes.slant(Spark)], rhymes.described(Spark, "sl", "slant"), qv=self._variants(words, word, limit))
 
     def near_rhymes(self, words: DataFrame, limit: int = 20, word: str = "word") -> DataFrame:
-        return self._search(words, word, limit, [rhymes.near(Spark)], rhymes.described(Spark, "nr", "near"))
+        return self._run([rhymes.near(Spark)], rhymes.described(Spark, "nr", "near"), qv=self._variants(words, word, limit))
 
     def rhymes(self, words: DataFrame, limit: int = 20, word: str = "word") -> DataFrame:
-        """Perfect, slant and near rhymes in this order, each match once."""
-        steps = [rhymes.merged(Spark)]
-        return self._search(words, word, limit, steps, rhymes.described(Spark, "all_", "").replace("'' AS rhyme_type", "r.rhyme_type AS rhyme_type"))
+        """Perfect, slant and near rhymes in this order, each match once. Each kind is written before the next one counts what it took."""
+        qv = self._variants(words, word, limit)
+        pf = written(self._run([rhymes.perfect(Spark)], "SELECT * FROM pf", qv=qv), "perfect")
+        sl = written(self._run([rhymes.TAKEN, rhymes.slant(Spark, "n1")], "SELECT * FROM sl", qv=qv, pf=pf), "slant")
+        return self._run([rhymes.rest(Spark)], rhymes.described(Spark, "all_", None), qv=qv, pf=pf, sl=sl)
 
     def index(self, select: str) -> DataFrame:
         """A query over the index tables lexi, key0, grp, rg, codas, edges."""
-        return self._run(["one AS (SELECT 1 AS x)"], select)
+        return self._run([], select)
+
+    def keys(self) -> DataFrame:
+        """word: every entry of the lexicon once."""
+        return self.lexicon.select("word").distinct()
+
+    def counts(self) -> dict[str, int]:
+        """Entries, rhyme groups, distinct codas, and codas with a neighbour."""
+        t = self.tables()
+        one = lambda df, c: df.select(c).distinct().count()
+        return {"words": self.entry_count(), "groups": one(t["rg"], "tail"), "codas": one(t["grp"], "coda"), "neighbors": one(t["edges"], "coda")}
 
     # Pairs.
 

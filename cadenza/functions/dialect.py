@@ -15,6 +15,23 @@ class Spark:
         """Number of places at which two strings of equal length agree."""
         return f"aggregate(zip_with(split({a}, ''), split({b}, ''), (x, y) -> CASE WHEN x = y THEN 1 ELSE 0 END), 0, (s, x) -> s + x)"
 
+    @staticmethod
+    def packed(bits: str) -> str:
+        """A string of 0 and 1 as numbers of 60 places each, the last one filled with zeros."""
+        return f"transform(sequence(0, greatest(0, (length({bits}) - 1) div 60)), i -> CAST(conv(rpad(substr({bits}, CAST(i * 60 + 1 AS INT), 60), 60, '0'), 2, 10) AS BIGINT))"
+
+    @staticmethod
+    def agreeing(bits: str, packed: str, foot: str) -> str:
+        """Number of places at which ``bits`` agrees with a foot (of 2 or 3 places) repeated."""
+        p = int((foot * 60)[:60], 2)
+        filled = f"60 * size({packed}) - length({bits})"
+        return f"(length({bits}) - aggregate({packed}, 0, (s, x) -> s + bit_count(x ^ {p}L)) + bit_count({p}L & (shiftleft(1L, {filled}) - 1L)))"
+
+    @staticmethod
+    def each(rows: str, columns: str, low: str, high: str) -> str:
+        """Rows with a column i of every number from low to high; none where high is less."""
+        return f"SELECT {columns}, explode(sequence({low}, {high})) AS i FROM {rows} WHERE {high} >= {low}"
+
     @staticmethod
     def names(c: str, chars: str, table: list[str]) -> str:
         """Space-joined names of a string's characters."""
@@ -33,6 +50,19 @@ class Duck:
     def equal_places(a: str, b: str) -> str:
         return f"(length({a}) - hamming({a}, {b}))"
 
+    @staticmethod
+    def packed(bits: str) -> str:
+        return "NULL"
+
+    @staticmethod
+    def agreeing(bits: str, packed: str, foot: str) -> str:
+        n = f"length({bits})"
+        return Duck.equal_places(bits, f"substr(repeat('{foot}', CAST({n} AS INT)), 1, {n})")
+
+    @staticmethod
+    def each(rows: str, columns: str, low: str, high: str) -> str:
+        return f"SELECT {columns}, unnest(range({low}, CAST({high} AS BIGINT) + 1)) AS i FROM {rows}"
+
     @staticmethod
     def names(c: str, chars: str, table: list[str]) -> str:
         words = ", ".join(f"'{w}'" for w in table)

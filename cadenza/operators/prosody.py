@@ -22,6 +22,19 @@ def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(tx.lines_of(F.col(text))).alias("line_no", "text"))
 
 
+def tokenized_lines(lines: DataFrame, kind: str, text: str = "text") -> tuple[DataFrame, list[str]]:
+    """One row per token, and one with a null token for a line without any, next to all columns of its line; and the
+    columns that name a line. A line is then put together again by one aggregation, which combines its words in the
+    task that read them; nothing is joined back."""
+    marked = lines.withColumn("_line", F.monotonically_increasing_id())
+    return marked.select("*", F.posexplode_outer(tx.tokens(F.col(text), kind)).alias("pos", "token")), [*(c for c in lines.columns if c != text), "_line"]
+
+
+def in_order(of: str, kept: Column) -> Column:
+    """Aggregate: the values of a column of a line's kept tokens in their order."""
+    return F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("pos", of)))), lambda x: x[of])
+
+
 def tokenized(lines: DataFrame, kind: str, text: str = "text") -> DataFrame:
     """One row per token with its position, next to the other columns."""
     kept = [c for c in lines.columns if c != text]
@@ -65,43 +78,50 @@ def syllables_of(rows: DataFrame, lex0: DataFrame) -> DataFrame:
 
 def line_syllables(lines: DataFrame, keys: list[str], lex0: DataFrame) -> DataFrame:
     """Per line: words (token and syllables in order) and their total; lines without tokens have total 0."""
-    counted = syllables_of(with_norm(tokenized(lines, "w"), "token"), lex0)
-    per = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "syllables"))).alias("w"), F.sum("syllables").alias("total"))
-    words = F.transform("w", lambda x: F.struct(x["token"].alias("word"), x["syllables"].alias("syllables")))
-    none = F.array().cast("array<struct<word:string,syllables:int>>")
-    return lines.select(*keys).join(per, keys, "left").select(*keys, F.coalesce(words, none).alias("words"), F.coalesce("total", F.lit(0)).cast("int").alias("total"))
+    toks, line = tokenized_lines(lines.select(*keys, "text"), "w")
+    counted = syllables_of(with_norm(toks, "token"), lex0).withColumn("w", F.struct(F.col("token").alias("word"), "syllables"))
+    word = F.col("token").isNotNull()
+    per = counted.groupBy(*line).agg(in_order("w", word).alias("words"), F.sum(F.when(word, F.col("syllables"))).alias("total"))
+    return per.select(*keys, "words", F.coalesce("total", F.lit(0)).cast("int").alias("total"))
 
 
-def stressed_tokens(lines: DataFrame, lex0: DataFrame, mode: str = "spoken") -> DataFrame:
-    """One row per token that has a normal form: keys of ``lines``, pos, token, norm, pron (null if estimated), stress digits.
+def stressed(toks: DataFrame, lex0: DataFrame, mode: str = "spoken") -> DataFrame:
+    """Tokens gain norm, pron (null if unknown) and stress digits; those are null where a token has no normal form.
 
     ``spoken`` leaves one-syllable function words unstressed; ``dictionary`` keeps the lexicon's stress.
     """
     if mode not in ("spoken", "dictionary"):
         raise ValueError(f"no stress mode {mode!r}")
-    found = first_pronunciation(with_norm(tokenized(lines, "s"), "token").where("norm <> ''"), lex0)
+    found = first_pronunciation(with_norm(toks, "token"), lex0)
     digits = F.expr(ph.stress_digits("pron"))
     if mode == "spoken":
         digits = F.when((F.length(digits) == 1) & tx.function_word(F.col("norm")), F.lit("0")).otherwise(digits)
     estimate = F.concat(F.lit("1"), F.repeat(F.lit("0"), tx.estimated_syllables(F.col("norm")) - 1))
-    return found.withColumn("stress", F.when(F.col("pron").isNotNull(), digits).otherwise(estimate))
+    return found.withColumn("stress", F.when(F.col("norm") != "", F.when(F.col("pron").isNotNull(), digits).otherwise(estimate)))
 
 
-def scanned(lines: DataFrame, keys: list[str], lex0: DataFrame, mode: str = "spoken") -> DataFrame:
-    """Per line: keys, text, word_tokens, dictionary_words, stresses (digits), bits (0 and 1), syllable_count and its meter.
+def scanned(lines: DataFrame, keys: list[str], lex0: DataFrame, mode: str = "spoken", display: bool = False) -> DataFrame:
+    """Per line: keys, text, word_tokens, dictionary_words, stresses (digits), bits (0 and 1), syllable_count and its meter;
+    with ``display`` its words by syllable.
 
-    The lexicon is broadcast; only keys, positions and stress digits are shuffled, to order the words of a line.
+    One pass over the texts: the lexicon is joined where the words are, and the only shuffle is that of the lines, each
+    already put together by the map side of the aggregation; a text that is not asked for is not in it.
     """
-    words = stressed_tokens(lines, lex0, mode)
-    per = words.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stress"))), lambda x: x["stress"]), "").alias("stresses"),
-        F.count("*").alias("word_tokens"),
-        F.count("pron").alias("dictionary_words"),
-    )
-    full = lines.join(per, keys, "left").select(
-        *keys, "text", F.coalesce("word_tokens", F.lit(0)).cast("long").alias("word_tokens"), F.coalesce("dictionary_words", F.lit(0)).cast("long").alias("dictionary_words"), F.coalesce("stresses", F.lit("")).alias("stresses")
+    toks, line = tokenized_lines(lines.select(*keys, "text"), "s")
+    words = stressed(toks, lex0, mode)
+    kept = F.col("stress").isNotNull()
+    shown = []
+    if display:
+        words = words.withColumn("shown", display_udf("token", "stress"))
+        shown = [F.array_join(in_order("shown", kept), " ").alias("stressed_display")]
+    per = words.groupBy(*line).agg(
+        F.first("text").alias("text"),
+        F.count("stress").alias("word_tokens"),
+        F.count(F.when(kept, F.col("pron"))).alias("dictionary_words"),
+        F.array_join(in_order("stress", kept), "").alias("stresses"),
+        *shown,
     )
-    return metered(full.withColumn("bits", F.translate("stresses", "2", "1")).withColumn("syllable_count", F.length("stresses").cast("long")))
+    return metered(per.drop("_line").withColumn("bits", F.translate("stresses", "2", "1")).withColumn("syllable_count", F.length("stresses").cast("long")))
 
 
 def metered(rows: DataFrame, bits: str = "bits") -> DataFrame:
@@ -121,12 +141,10 @@ def visual(bits: Column) -> Column:
 
 def scan_records(lines: DataFrame, keys: list[str], lex0: DataFrame, mode: str = "spoken") -> DataFrame:
     """The full record of a line: scanned columns with the display of its words by syllable."""
-    shown = stressed_tokens(lines, lex0, mode).withColumn("shown", display_udf("token", "stress"))
-    per = shown.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]), " ").alias("stressed_display"))
     ints = lambda c: F.when(F.col(c) == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(c, ""), lambda x: x.cast("int")))
-    full = scanned(lines, keys, lex0, mode).join(per, keys, "left")
+    full = scanned(lines, keys, lex0, mode, display=True)
     return full.select(
-        *keys, "text", F.coalesce("stressed_display", F.lit("")).alias("stressed_display"), ints("stresses").alias("stress_pattern"), ints("bits").alias("binary_pattern"), F.col("syllable_count").cast("int").alias("syllable_count"),
+        *keys, "text", "stressed_display", ints("stresses").alias("stress_pattern"), ints("bits").alias("binary_pattern"), F.col("syllable_count").cast("int").alias("syllable_count"),
         visual(F.col("bits")).alias("visual"), F.struct(F.col("meter_name").alias("name"), "foot_type", "foot_count", "regularity").alias("meter"), "word_tokens", "dictionary_words", fingerprint().alias("prosody_fingerprint"),
     )
 
@@ -145,27 +163,41 @@ def compared_meter(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("same_meter", F.expr("foot_type1 = foot_type2")).withColumn("same_length", F.expr("foot_count1 = foot_count2")).withColumn("stress_agreement", F.expr(meter.agreement("bits1", "bits2", Spark))).withColumn("mismatch_positions", places)
 
 
+def votes(scans: DataFrame, key: str, *more: Column) -> DataFrame:
+    """Per document and meter of its lines: the lines with syllables, foot type and count of the first of them; and more aggregates."""
+    some = F.col("syllable_count") > 0
+    foot = F.min(F.when(some, F.struct("line_no", "foot_type", "foot_count")))
+    return scans.groupBy(key, "meter_name").agg(F.count(F.when(some, 1)).alias("supporting_line_count"), foot.alias("foot"), *more)
+
+
+def _winner() -> Column:
+    """Aggregate over votes: the meter of most lines, the greatest name among equals; null without any."""
+    return F.max(F.when(F.col("supporting_line_count") > 0, F.struct("supporting_line_count", "meter_name", "foot.foot_type", "foot.foot_count")))
+
+
 def dominant_meter(scans: DataFrame, key: str) -> DataFrame:
     """Per document: the meter of most lines, the greatest name among equals; documents without syllables have none."""
-    votes = scans.where("syllable_count > 0").groupBy(key, "meter_name").agg(F.count("*").alias("supporting_line_count"), F.min_by(F.struct("foot_type", "foot_count"), "line_no").alias("m"))
-    top = Window.partitionBy(key).orderBy(F.desc("supporting_line_count"), F.desc("meter_name"))
-    best = votes.withColumn("r", F.row_number().over(top)).where("r = 1")
-    return best.select(key, "meter_name", F.col("m.foot_type").alias("foot_type"), F.col("m.foot_count").alias("foot_count"), "supporting_line_count")
+    best = votes(scans, key).groupBy(key).agg(_winner().alias("m")).where("m IS NOT NULL")
+    return best.select(key, "m.meter_name", "m.foot_type", "m.foot_count", "m.supporting_line_count")
 
 
 def document_summary(docs: DataFrame, key: str, lex0: DataFrame, mode: str = "spoken", text: str = "text") -> DataFrame:
-    """One row per document: counts, coverage, means and dominant meter."""
-    scans = scanned(split_lines(docs, key, text), [key, "line_no"], lex0, mode)
-    own = scans.groupBy(key).agg(
+    """One row per document: counts, coverage, means and dominant meter; one pass over the texts, lines first, then
+    their meters, then documents."""
+    lines = split_lines(docs, key, text).withColumn("filled", ~tx.blank(F.col("text")))
+    scans = scanned(lines, [key, "line_no", "filled"], lex0, mode)
+    some = F.col("syllable_count") > 0
+    by_meter = votes(
+        scans, key,
         F.count("*").alias("line_count"),
-        F.count(F.when(~tx.blank(F.col("text")), 1)).alias("non_empty_line_count"),
+        F.count(F.when(F.col("filled"), 1)).alias("non_empty_line_count"),
         F.sum("syllable_count").alias("total_syllables"),
         F.sum("word_tokens").alias("total_word_tokens"),
         F.sum("dictionary_words").alias("dictionary_word_tokens"),
-        F.sum(F.when(F.col("syllable_count") > 0, F.round(F.col("regularity") * 10000).cast("long"))).alias("_sum"),
-        F.count(F.when(F.col("syllable_count") > 0, 1)).alias("_n"),
-    )
-    full = own.join(dominant_meter(scans, key), key, "left")
+        F.sum(F.when(some, F.round(F.col("regularity") * 10000).cast("long"))).alias("_sum"),
+    )
+    sums = ["line_count", "non_empty_line_count", "total_syllables", "total_word_tokens", "dictionary_word_tokens", "_sum"]
+    full = by_meter.groupBy(key).agg(*(F.sum(c).alias(c) for c in sums), F.sum("supporting_line_count").alias("_n"), _winner().alias("m")).select("*", "m.*").drop("m")
     return full.select(
         key, "line_count", "non_empty_line_count", "total_syllables", "total_word_tokens", "dictionary_word_tokens",
         F.when(F.col("total_word_tokens") > 0, round4(F.col("dictionary_word_tokens") / F.col("total_word_tokens"))).otherwise(F.lit(1.0)).alias("dictionary_coverage"),

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import phonemes as ph
-from cadenza.operators.prosody import first_pronunciation, tokenized, with_norm
+from cadenza.functions import text as tx
+from cadenza.operators.prosody import first_pronunciation, with_norm
 
 LONGEST = 4
 
@@ -30,10 +31,10 @@ class Options:
 def words(lines: DataFrame, lex0: DataFrame) -> DataFrame:
     """Every word of the lines: keys, pos, token, pron (null if unknown), stripped, last (ends its line)."""
     keys = [c for c in lines.columns if c != "text"]
-    toks = tokenized(lines, "m")
-    last = toks.groupBy(*keys).agg(F.max("pos").alias("_last"))
-    found = first_pronunciation(with_norm(toks, "token"), lex0).join(last, keys)
-    return found.select(*keys, "pos", "token", "pron", F.expr(ph.strip_stress("coalesce(pron, '')")).alias("stripped"), (F.col("pos") == F.col("_last")).alias("last"))
+    cut = lines.select(*keys, tx.tokens(F.col("text"), "m").alias("_tokens"))
+    toks = cut.select(*keys, F.size("_tokens").alias("_size"), F.posexplode("_tokens").alias("pos", "token"))
+    found = first_pronunciation(with_norm(toks, "token"), lex0)
+    return found.select(*keys, "pos", "token", "pron", F.expr(ph.strip_stress("coalesce(pron, '')")).alias("stripped"), (F.col("pos") == F.col("_size") - 1).alias("last"))
 
 
 def hits(tokens: DataFrame, key: str) -> DataFrame:
@@ -42,12 +43,14 @@ def hits(tokens: DataFrame, key: str) -> DataFrame:
     return tokens.where("stripped <> ''").select(key, "line_no", "pos", "token", "last", F.explode(grams).alias("g")).select(key, "line_no", "pos", "token", "last", F.col("g.start").alias("start"), F.col("g.ngram").alias("ngram"))
 
 
-def patterns(lines: DataFrame, key: str, lex0: DataFrame, options: Options = Options()) -> DataFrame:
-    """key, pattern_id, ngram, length, count, score, is_vowel_anchored: the patterns of each document by score, count and n-gram."""
+def _ranked(lines: DataFrame, key: str, lex0: DataFrame, options: Options, members: bool) -> DataFrame:
+    """The patterns of each document; with ``members`` the words that take part, gathered while they are counted."""
     o = options
     h = hits(words(lines, lex0), key)
-    places = h.groupBy(key, "ngram", "line_no", "pos").agg(F.count("*").alias("n"), F.max("last").alias("last"))
-    g = places.groupBy(key, "ngram").agg(F.count("*").alias("count"), F.sum("n").alias("hits"), F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("ends"))
+    own = [F.first("token").alias("token"), F.sort_array(F.collect_list("start")).alias("starts")] if members else []
+    places = h.groupBy(key, "ngram", "line_no", "pos").agg(F.count("*").alias("n"), F.max("last").alias("last"), *own)
+    every = [F.collect_list(F.struct("line_no", "pos", "token", "starts")).alias("members")] if members else []  # of one document
+    g = places.groupBy(key, "ngram").agg(F.count("*").alias("count"), F.sum("n").alias("hits"), F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("ends"), *every)
     g = g.where((F.col("count") >= o.min_count) & (F.length("ngram") >= o.min_length))
     anchored = F.substring("ngram", 1, 1).between("A", "O")
     position = 1.0 + F.col("ends") / F.col("hits") * F.lit(o.end_of_line_boost - 1.0)
@@ -57,12 +60,16 @@ def patterns(lines: DataFrame, key: str, lex0: DataFrame, options: Options = Opt
     g = g.withColumn("pattern_id", F.row_number().over(order) - 1)
     if o.max_patterns:
         g = g.where(F.col("pattern_id") < o.max_patterns)
+    return g.withColumn("is_vowel_anchored", anchored).withColumn("length", F.length("ngram"))
+
+
+def patterns(lines: DataFrame, key: str, lex0: DataFrame, options: Options = Options()) -> DataFrame:
+    """key, pattern_id, ngram, length, count, score, is_vowel_anchored: the patterns of each document by score, count and n-gram."""
     named = F.expr(f"replace({ph.arpabet('ngram')}, ' ', '-')")
-    return g.select(key, "pattern_id", named.alias("ngram"), F.length("ngram").alias("length"), "count", "score", anchored.alias("is_vowel_anchored"), F.col("ngram").alias("code"))
+    return _ranked(lines, key, lex0, options, False).select(key, "pattern_id", named.alias("ngram"), "length", "count", "score", "is_vowel_anchored", F.col("ngram").alias("code"))
 
 
 def highlights(lines: DataFrame, key: str, lex0: DataFrame, options: Options = Options()) -> DataFrame:
     """key, line_no, pos, token, pattern_id, start, length: where each word takes part in a pattern."""
-    h = hits(words(lines, lex0), key)
-    p = patterns(lines, key, lex0, options).select(key, F.col("code").alias("ngram"), "pattern_id", "length")
-    return h.join(p, [key, "ngram"]).select(key, "line_no", "pos", "token", "pattern_id", "start", "length")
+    g = _ranked(lines, key, lex0, options, True).select(key, "pattern_id", "length", F.explode("members").alias("m"))
+    return g.select(key, "m.line_no", "m.pos", "m.token", "pattern_id", F.explode("m.starts").alias("start"), "length")

@@ -10,9 +10,9 @@ COUNTS = ["", "monometer", "dimeter", "trimeter", "tetrameter", "pentameter", "h
 
 
 def regularity(bits: str, foot: str, d) -> str:
-    """Share of places where the foot repeated agrees, less a twentieth of the part of a foot left over."""
+    """Of rows with ``packed`` bits: share of places where the foot repeated agrees, less a twentieth of the part of a foot left over."""
     m, n = len(foot), f"length({bits})"
-    agree = d.equal_places(bits, f"substr(repeat('{foot}', CAST({n} AS INT)), 1, {n})")
+    agree = d.agreeing(bits, "packed", foot)
     cut = f"CASE WHEN {n} % {m} > 0 THEN {double(1)} - ({double(0.05)} * ({n} % {m}) / {m}) ELSE {double(1)} END"
     return f"CASE WHEN {n} < {m} THEN {double(0)} ELSE {round4(f'(CAST({agree} AS DOUBLE) / {n}) * ({cut})')} END"
 
@@ -23,7 +23,7 @@ def detected(rows: str, bits: str, d) -> str:
     each = ", ".join(f"{regularity(bits, f, d)} AS r_{name}" for name, f, _ in FEET)
     top = f"greatest({', '.join(f'r_{name}' for name, _, _ in FEET)})"
     pick = lambda what: " ".join(f"WHEN r_{name} = top THEN {what(name, f, adj)}" for name, f, adj in FEET)
-    one = f"SELECT *, {each} FROM {rows}"
+    one = f"SELECT *, {each} FROM (SELECT *, {d.packed(bits)} AS packed FROM {rows}) m0"
     two = f"SELECT *, {top} AS top FROM ({one}) m1"
     three = f"SELECT *, CASE WHEN {bits} = '' THEN 'none' {pick(lambda n, f, a: repr(n))} END AS foot_type, CASE WHEN {bits} = '' THEN 0 {pick(lambda n, f, a: f'CAST(floor(length({bits}) / {double(len(f))}) AS INT)')} END AS foot_count, CASE WHEN {bits} = '' THEN '' {pick(lambda n, f, a: repr(a))} END AS adjective FROM ({two}) m2"
     names = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(COUNTS) if n)

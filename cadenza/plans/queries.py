@@ -154,7 +154,7 @@ def coda_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suffix_index(spark: SparkSession, d: str) -> DataFrame:
-    return engine(spark).index("SELECT substr(coda, p.i) AS suffix, coda FROM (SELECT DISTINCT coda FROM grp) c JOIN (SELECT explode(sequence(2, 32)) AS i) p ON p.i <= length(coda) - 1")
+    return engine(spark).index("SELECT substr(coda, i) AS suffix, coda FROM (SELECT coda, explode(sequence(2, length(coda) - 1)) AS i FROM (SELECT DISTINCT coda FROM grp) c WHERE length(coda) > 2) t")
 
 
 # Rhymes and pairs.
@@ -197,12 +197,17 @@ def compare_pairs(spark: SparkSession, d: str) -> DataFrame:
     return engine(spark).compare(_pairs(spark, d))
 
 
+#: Pronunciations after a given one, among those with its last phoneme, that it is compared with.
+NEXT = 8
+
+
 def _lexicon_pairs(e: Engine) -> DataFrame:
-    """Pronunciations that end in one consonant or vowel, paired: small groups of the static lexicon."""
+    """Every pronunciation with itself and the next ones of its last phoneme, in order of word and variant: rows in
+    proportion to the lexicon."""
     lex = e.lexicon.select("word", "variant", F.col("pron").alias("p"), F.expr("right(pron, 1)").alias("z"))
-    a = lex.select("z", F.col("word").alias("word1"), F.col("variant").alias("v1"), F.col("p").alias("a"))
-    b = lex.select("z", F.col("word").alias("word2"), F.col("variant").alias("v2"), F.col("p").alias("b"))
-    return a.join(F.broadcast(b), "z").drop("z")
+    own = Window.partitionBy("z").orderBy("word", "variant").rowsBetween(0, NEXT)
+    pairs = lex.withColumn("next", F.collect_list(F.struct("word", "variant", "p")).over(own)).withColumn("y", F.explode("next"))
+    return pairs.select(F.col("word").alias("word1"), F.col("variant").alias("v1"), F.col("p").alias("a"), F.col("y.word").alias("word2"), F.col("y.variant").alias("v2"), F.col("y.p").alias("b"))
 
 
 def analyze_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +221,8 @@ def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _lexicon_pairs(e).selectExpr("word1", "v1", "word2", "v2", f"{s} AS similarity")
 
 
-_D_LEXPAIRS = "lp AS (SELECT x.word AS word1, x.variant AS v1, y.word AS word2, y.variant AS v2, x.pron AS a, y.pron AS b FROM lex x JOIN lex y ON right(x.pron, 1) = right(y.pron, 1))"
+_D_LEXPAIRS = f"""nb AS (SELECT *, right(pron, 1) AS z, row_number() OVER (PARTITION BY right(pron, 1) ORDER BY word, variant) AS i FROM lex),
+lp AS (SELECT x.word AS word1, x.variant AS v1, y.word AS word2, y.variant AS v2, x.pron AS a, y.pron AS b FROM nb x JOIN nb y ON x.z = y.z AND y.i BETWEEN x.i AND x.i + {NEXT})"""
 
 
 # Lines and documents.
@@ -240,14 +246,13 @@ def scan_records(spark: SparkSession, d: str) -> DataFrame:
     return s.select("item_id", "line_no", "stressed_display", "visual", "prosody_fingerprint")
 
 
-def _scans(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
-    return engine(spark).scan(prosody.split_lines(docs, "doc_id", "text"), ["doc_id", "line_no"])
+def _scans(docs: DataFrame) -> DataFrame:
+    return engine(docs.sparkSession).scan(prosody.split_lines(docs.select("doc_id", "text"), "doc_id", "text"), ["doc_id", "line_no"])
 
 
 def meter_distribution(spark: SparkSession, d: str) -> DataFrame:
-    """How often English document lines have each meter, and how regular they are."""
-    g = _scans(spark, d).where("syllable_count > 0").groupBy("meter_name").agg(F.count("*").alias("lines"), F.sum(F.round(F.col("regularity") * 10000).cast("long")).alias("r"))
+    """How often document lines have each meter, and how regular they are."""
+    g = _scans(table(spark, d, "documents")).where("syllable_count > 0").groupBy("meter_name").agg(F.count("*").alias("lines"), F.sum(F.round(F.col("regularity") * 10000).cast("long")).alias("r"))
     return g.select("meter_name", "lines", (F.round(F.col("r") / F.col("lines")) / 10000).alias("mean_regularity"))
 
 
@@ -267,7 +272,7 @@ def meter_compare_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dominant_meter_docs(spark: SparkSession, d: str) -> DataFrame:
-    return prosody.dominant_meter(_scans(spark, d), "doc_id").select("doc_id", "meter_name", "foot_type", F.col("foot_count").cast("long").alias("foot_count"), "supporting_line_count")
+    return prosody.dominant_meter(_scans(table(spark, d, "documents")), "doc_id").select("doc_id", "meter_name", "foot_type", F.col("foot_count").cast("long").alias("foot_count"), "supporting_line_count")
 
 
 def document_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -314,10 +319,8 @@ kept AS (SELECT *, replace({ph.arpabet('g', Duck)}, ' ', '-') AS ngram FROM pats
 def _registry() -> dict[str, tuple]:
     base = f"{rhymes.indexes(Duck)}"
     q = lambda k: f"{_d_queries(k)}, {base}, {rhymes.queries(Duck)}"
-    named = "'' AS rhyme_type"
     conv = "lines AS (SELECT conv_id, turn, text FROM conversations)"
     bench, docs = _d_lines("benchmark", "item_id"), _d_lines("documents", "doc_id")
-    english = _d_lines("(SELECT * FROM documents WHERE lang = 'en') e", "doc_id")
     scan_cols = "item_id, line_no, stresses, bits, CAST(syllable_count AS BIGINT) AS syllable_count, meter_name, foot_type, foot_count, regularity, rtrim(regexp_replace(translate(bits, '01', 'x/'), '(.)', '\\1 ', 'g')) AS visual"
     norm = tx.duck_normalize("token")
     dom = """votes AS (SELECT doc_id, meter_name, count(*) AS supporting_line_count, arg_min({'t': foot_type, 'c': foot_count}, line_no) AS m FROM scans WHERE syllable_count > 0 GROUP BY ALL),
@@ -343,18 +346,18 @@ dom AS (SELECT doc_id, meter_name, m.t AS foot_type, CAST(m.c AS BIGINT) AS foot
         "perfect_rhymes_parts": (perfect_rhymes_parts, f"{_duck(q(BIG), rhymes.perfect(Duck))} {rhymes.described(Duck, 'pf', 'perfect')}"),
         "slant_rhymes_parts": (slant_rhymes_parts, f"{_duck(q(K), rhymes.slant(Duck))} {rhymes.described(Duck, 'sl', 'slant')}"),
         "near_rhymes_parts": (near_rhymes_parts, f"{_duck(q(K), rhymes.coda_keys(Duck), rhymes.near(Duck))} {rhymes.described(Duck, 'nr', 'near')}"),
-        "rhymes_merged_parts": (rhymes_merged_parts, f"{_duck(q(K), rhymes.coda_keys(Duck), rhymes.merged(Duck))} {rhymes.described(Duck, 'all_', '').replace(named, 'r.rhyme_type AS rhyme_type')}"),
-        "rhymes_merged_all": (rhymes_merged_all, f"{_duck(full_q, base, rhymes.queries(Duck), rhymes.coda_keys(Duck), rhymes.merged(Duck))} {rhymes.described(Duck, 'all_', '').replace(named, 'r.rhyme_type AS rhyme_type')}"),
+        "rhymes_merged_parts": (rhymes_merged_parts, f"{_duck(q(K), rhymes.coda_keys(Duck), rhymes.merged(Duck))} {rhymes.described(Duck, 'all_', None)}"),
+        "rhymes_merged_all": (rhymes_merged_all, f"{_duck(full_q, base, rhymes.queries(Duck), rhymes.coda_keys(Duck), rhymes.merged(Duck))} {rhymes.described(Duck, 'all_', None)}"),
         "compare_pairs": (compare_pairs, f"{_duck(_D_PAIRS, compare.compared(Duck))} SELECT * FROM cmp"),
         "analyze_pairs": (analyze_pairs, f"{_duck(_D_LEXPAIRS)} SELECT word1, v1, word2, v2, rhyme_type, conf AS confidence FROM ({compare.analyze('lp')}) t"),
         "similarity_pairs": (similarity_pairs, f"{_duck(_D_LEXPAIRS)} SELECT word1, v1, word2, v2, {round4(compare.similarity(ph.strip_stress('a'), ph.strip_stress('b')))} AS similarity FROM lp"),
         "scan_lines": (scan_lines, f"{_duck(bench, _d_scan('item_id, line_no'))} SELECT {scan_cols} FROM scans"),
         "scan_dictionary_mode": (scan_dictionary_mode, f"{_duck(bench, _d_scan('item_id, line_no').replace(' AND norm IN (SELECT norm FROM fw)', ' AND 1 = 0'))} SELECT item_id, line_no, stresses, meter_name, regularity FROM scans"),
         "scan_records": (scan_records, None),
-        "meter_distribution": (meter_distribution, f"{_duck(english, _d_scan('doc_id, line_no'))} SELECT meter_name, count(*) AS lines, round(sum(CAST(round(regularity * 10000) AS BIGINT)) / count(*)) / 10000 AS mean_regularity FROM scans WHERE syllable_count > 0 GROUP BY meter_name"),
+        "meter_distribution": (meter_distribution, f"{_duck(docs, _d_scan('doc_id, line_no'))} SELECT meter_name, count(*) AS lines, round(sum(CAST(round(regularity * 10000) AS BIGINT)) / count(*)) / 10000 AS mean_regularity FROM scans WHERE syllable_count > 0 GROUP BY meter_name"),
         "prosody_fingerprints": (prosody_fingerprints, f"{_duck(conv, _d_scan('conv_id, turn'))} SELECT conv_id, turn, {_FINGER} AS fingerprint FROM scans"),
         "meter_compare_turns": (meter_compare_turns, f"{_duck(conv, _d_scan('conv_id, turn'))}, p AS (SELECT conv_id, turn, lag(bits) OVER w AS bits1, lag(foot_type) OVER w AS f1, lag(foot_count) OVER w AS c1, bits AS bits2, foot_type AS f2, foot_count AS c2 FROM scans WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, f1 = f2 AS same_meter, c1 = c2 AS same_length, {meter.agreement('bits1', 'bits2', Duck)} AS stress_agreement, CASE WHEN greatest(length(bits1), length(bits2)) = 0 THEN 0 WHEN least(length(bits1), length(bits2)) = 0 THEN greatest(length(bits1), length(bits2)) ELSE hamming(substr(bits1, 1, least(length(bits1), length(bits2))), substr(bits2, 1, least(length(bits1), length(bits2)))) + abs(length(bits1) - length(bits2)) END AS mismatches FROM p WHERE bits1 IS NOT NULL"),
-        "dominant_meter_docs": (dominant_meter_docs, f"{_duck(english, _d_scan('doc_id, line_no'))}, {dom} SELECT * FROM dom"),
+        "dominant_meter_docs": (dominant_meter_docs, f"{_duck(docs, _d_scan('doc_id, line_no'))}, {dom} SELECT * FROM dom"),
         "document_summary": (document_summary, f"""{_duck(docs, _d_scan('doc_id, line_no'))}, {dom}, own AS (SELECT doc_id, count(*) AS line_count, count(CASE WHEN regexp_matches(text, '[^\\s]') THEN 1 END) AS non_empty_line_count, CAST(sum(syllable_count) AS BIGINT) AS total_syllables, CAST(sum(word_tokens) AS BIGINT) AS total_word_tokens, CAST(sum(dictionary_words) AS BIGINT) AS dictionary_word_tokens, sum(CASE WHEN syllable_count > 0 THEN CAST(round(regularity * 10000) AS BIGINT) END) AS rs, count(CASE WHEN syllable_count > 0 THEN 1 END) AS rn FROM scans GROUP BY doc_id)
 SELECT o.doc_id, line_count, non_empty_line_count, total_syllables, total_word_tokens, dictionary_word_tokens, CASE WHEN total_word_tokens > 0 THEN round(CAST(dictionary_word_tokens AS DOUBLE) / total_word_tokens * 10000) / 10000 ELSE CAST(1 AS DOUBLE) END AS dictionary_coverage, round(CAST(total_syllables AS DOUBLE) * 10000 / line_count) / 10000 AS mean_syllables_per_line, coalesce(meter_name, 'none') AS meter_name, coalesce(supporting_line_count, 0) AS supporting_line_count, CASE WHEN rn > 0 THEN CAST(round(rs / rn) AS BIGINT) ELSE 0 END AS mean_regularity_4dp FROM own o LEFT JOIN dom d ON d.doc_id = o.doc_id"""),
         "dictionary_coverage_by_lang": (dictionary_coverage_by_lang, f"{_duck()}, t AS (SELECT lang, source, unnest({tx.duck_tokens('text', 's')}) AS token FROM documents), f AS (SELECT t.lang, t.source, l.pron FROM t LEFT JOIN lex l ON l.variant = 0 AND l.word = {tx.duck_normalize('t.token')} WHERE {tx.duck_normalize('t.token')} <> '') SELECT lang, source, count(*) AS tokens, count(pron) AS known FROM f GROUP BY ROLLUP (lang, source)"),
