@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.functions import columns
 from cadenza.functions import phonemes as ph
 from cadenza.functions.dialect import Spark
 from cadenza.operators import prosody, rhymemap
@@ -39,7 +40,7 @@ class Engine:
 
     def with_custom_words(self, words: DataFrame) -> Engine:
         """An engine that also knows ``words(word, phonemes array)``; they become full entries after those there are."""
-        new = words.select(F.upper("word").alias("word"), F.expr(f"array_join(transform(phonemes, x -> {_encode_sql('x')}), '')").alias("pron"))
+        new = words.select(F.upper("word").alias("word"), columns.encode_all("phonemes").alias("pron"))
         have = self.lexicon.groupBy("word").agg((F.max("variant") + 1).alias("n"))
         new = new.join(have, "word", "left").select("word", F.coalesce("n", F.lit(0)).cast("int").alias("variant"), "pron")
         return Engine(self.spark, self.lexicon.unionByName(new))
@@ -148,11 +149,3 @@ class Engine:
 
     def highlights(self, lines: DataFrame, key: str, options: rhymemap.Options = rhymemap.Options()) -> DataFrame:
         return rhymemap.highlights(lines, key, self.lex0, options)
-
-
-def _encode_sql(c: str) -> str:
-    """SQL for the character of an ARPAbet name."""
-    every = {n: code for code, n in ph.NAMES.items()} | {v: ph.CODES[v] for v in ph.VOWELS}
-    cases = " ".join(f"WHEN '{n}' THEN '{code}'" for n, code in every.items())
-    base = f"CASE WHEN length({c}) >= 3 AND {c} RLIKE '[0-9]$' AND NOT {c} RLIKE '^[AEIOU].[012]$' THEN left({c}, length({c}) - 1) ELSE {c} END"
-    return f"CASE {base} {cases} ELSE '{ph.INVALID}' END"

@@ -34,9 +34,10 @@ def drops_g(word: Column) -> Column:
     return F.contains(word, F.lit("'")) & F.rlike(word, F.lit(rf"(?s){A}.*[iI][nN]'[^{A}']*\z"))
 
 
-def normalize(word: Column) -> Column:
-    """Letters in upper case (one code point each), apostrophes and hyphens; a dropped g comes back."""
-    kept = F.upper(F.translate(F.regexp_replace(word, rf"[^{A}'\-]", ""), "ß", "S"))
+def normalize(word: Column, token: bool = False) -> Column:
+    """Letters in upper case (one code point each), apostrophes and hyphens; a dropped g comes back. A ``token`` of the
+    tokenizers above holds nothing else."""
+    kept = F.upper(F.translate(word if token else F.regexp_replace(word, rf"[^{A}'\-]", ""), "ß", "S"))
     return F.when(drops_g(word) & F.endswith(kept, F.lit("'")), F.concat(F.substring(kept, F.lit(1), F.length(kept) - 1), F.lit("G"))).otherwise(kept)
 
 

@@ -41,8 +41,8 @@ def tokenized(lines: DataFrame, kind: str, text: str = "text") -> DataFrame:
     return lines.select(*kept, F.posexplode(tx.tokens(F.col(text), kind)).alias("pos", "token"))
 
 
-def with_norm(rows: DataFrame, word: str) -> DataFrame:
-    return rows.withColumn("norm", tx.normalize(F.col(word))).withColumn("gdrop", tx.drops_g(F.col(word)))
+def with_norm(rows: DataFrame, word: str, token: bool = False) -> DataFrame:
+    return rows.withColumn("norm", tx.normalize(F.col(word), token)).withColumn("gdrop", tx.drops_g(F.col(word)))
 
 
 def first_pronunciation(rows: DataFrame, lex0: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def syllables_of(rows: DataFrame, lex0: DataFrame) -> DataFrame:
 def line_syllables(lines: DataFrame, keys: list[str], lex0: DataFrame) -> DataFrame:
     """Per line: words (token and syllables in order) and their total; lines without tokens have total 0."""
     toks, line = tokenized_lines(lines.select(*keys, "text"), "w")
-    counted = syllables_of(with_norm(toks, "token"), lex0).withColumn("w", F.struct(F.col("token").alias("word"), "syllables"))
+    counted = syllables_of(with_norm(toks, "token", True), lex0).withColumn("w", F.struct(F.col("token").alias("word"), "syllables"))
     word = F.col("token").isNotNull()
     per = counted.groupBy(*line).agg(in_order("w", word).alias("words"), F.sum(F.when(word, F.col("syllables"))).alias("total"))
     return per.select(*keys, "words", F.coalesce("total", F.lit(0)).cast("int").alias("total"))
@@ -92,7 +92,7 @@ def stressed(toks: DataFrame, lex0: DataFrame, mode: str = "spoken") -> DataFram
     """
     if mode not in ("spoken", "dictionary"):
         raise ValueError(f"no stress mode {mode!r}")
-    found = first_pronunciation(with_norm(toks, "token"), lex0)
+    found = first_pronunciation(with_norm(toks, "token", True), lex0)
     digits = F.expr(ph.stress_digits("pron"))
     if mode == "spoken":
         digits = F.when((F.length(digits) == 1) & tx.function_word(F.col("norm")), F.lit("0")).otherwise(digits)

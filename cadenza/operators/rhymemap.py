@@ -33,7 +33,7 @@ def words(lines: DataFrame, lex0: DataFrame) -> DataFrame:
     keys = [c for c in lines.columns if c != "text"]
     cut = lines.select(*keys, tx.tokens(F.col("text"), "m").alias("_tokens"))
     toks = cut.select(*keys, F.size("_tokens").alias("_size"), F.posexplode("_tokens").alias("pos", "token"))
-    found = first_pronunciation(with_norm(toks, "token"), lex0)
+    found = first_pronunciation(with_norm(toks, "token", True), lex0)
     return found.select(*keys, "pos", "token", "pron", F.expr(ph.strip_stress("coalesce(pron, '')")).alias("stripped"), (F.col("pos") == F.col("_size") - 1).alias("last"))
 
 

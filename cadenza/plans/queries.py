@@ -95,7 +95,7 @@ def _token_counts(kind: str):
 
 def normalize_tokens(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"), "w")).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
-    t = t.select(tx.normalize(F.col("token")).alias("norm"), tx.drops_g(F.col("token")).alias("gdrop"), "c")
+    t = t.select(tx.normalize(F.col("token"), True).alias("norm"), tx.drops_g(F.col("token")).alias("gdrop"), "c")
     return t.groupBy("norm").agg(F.sum("c").alias("n"), F.sum(F.col("gdrop").cast("long")).alias("dropped"))
 
 
@@ -283,7 +283,7 @@ def document_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def dictionary_coverage_by_lang(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("lang", "source", "text")
-    t = prosody.with_norm(docs.select("lang", "source", F.explode(tx.tokens(F.col("text"), "s")).alias("token")), "token").where("norm <> ''")
+    t = prosody.with_norm(docs.select("lang", "source", F.explode(tx.tokens(F.col("text"), "s")).alias("token")), "token", True).where("norm <> ''")
     f = prosody.first_pronunciation(t, engine(spark).lex0)
     return f.rollup("lang", "source").agg(F.count("*").alias("tokens"), F.count("pron").alias("known"))
 

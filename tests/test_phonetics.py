@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cadenza.api import Api, handle_line
 from cadenza.engine import Engine
+from cadenza.functions import columns
 from cadenza.functions import phonemes as ph
 from cadenza.functions import syllables
 from cadenza.functions import text as tx
@@ -35,6 +36,26 @@ def test_codec():
     assert all((a, b, d) in set(ph.vowel_distances()) and (b, a, d) in set(ph.vowel_distances()) for a, b, d in ph.vowel_distances())
 
 
+def test_columns(spark):
+    names = ["AA0", "AA1", "UW2", "B", "ZH", "CH1", "AA", "AA7", "", "GARBAGE", "XX", "A", "B0", "IH2"]
+    frame = spark.createDataFrame([(n,) for n in names], "n string")
+    got = frame.select("n", columns.encode("n").alias("c"), columns.is_valid("n").alias("v"), columns.is_valid_base("n").alias("b")).collect()
+    assert [(r.c, r.v, r.b) for r in got] == [(ph.encode(n), ph.is_valid(n), ph.is_valid_base(n)) for n in names]
+    assert "phoneme_tail" in columns.register(spark)
+    cat = ph.encode_all(["K", "AE1", "T"])
+    r = spark.sql(f"SELECT phoneme_decode('{cat}') d, phoneme_tail('{cat}') t, phoneme_syllables('{cat}') n, phoneme_encode('AE1') e, syllable_display('hello', '01') s").first()
+    assert (r.d, r.t, r.n, r.e, r.s) == ("K AE1 T", ph.encode_all(["AE", "T"]), 1, "b", "hel-LO")
+
+
+def test_lexicon_tables(spark, engine, tmp_path):
+    (tmp_path / "a.dict").write_text("cat  K AE1 T\ncat(1)  K AH0 T\n;;; x\nbat  B AE1 T\n")
+    loaded = lx.load(spark, str(tmp_path / "a.dict"))
+    e = Engine(spark, loaded)
+    assert sorted(r.word for r in e.keys().collect()) == ["BAT", "CAT"]
+    assert e.counts() == {"words": 2, "groups": 1, "codas": 1, "neighbors": 0}
+    assert engine.counts()["words"] == engine.entry_count()
+
+
 def test_lexicon_parse():
     rows = lx.parse(["", ";;; note", "word  W ER1 D", "word(1)  W ER0 D", "alone", "Éa B # aside", "two W"])
     assert rows == [("WORD", 0, ph.encode_all(["W", "ER1", "D"])), ("WORD", 1, ph.encode_all(["W", "ER0", "D"])), ("ÉA", 0, "("), ("TWO", 0, ph.encode("W"))]
@@ -169,6 +190,82 @@ def test_rhymes(spark, engine):
     assert "ZCAT" in {r.match for r in custom.perfect_rhymes(words(spark, "cat")).collect()}
 
 
+def word_no(i):
+    return "W" + "".join(chr(65 + i // 26**k % 26) for k in range(3, -1, -1))
+
+
+def synthetic(n, seed=5, codas=40):
+    """A lexicon of ``n`` words: random onsets, primary vowels and few codas, some with a second pronunciation."""
+    rng = random.Random(seed)
+    ends = ["", "", *("".join(ph.CODES[c] for c in rng.choices(ph.CONSONANTS[:8], k=rng.randint(1, 4))) for _ in range(codas))]
+    rows = []
+    for i in range(n):
+        for variant in range(1 + (i % 7 == 0)):
+            onset = "".join(ph.CODES[c] for c in rng.choices(ph.CONSONANTS, k=rng.randint(1, 3)))
+            rows.append((word_no(i), variant, onset + rng.choice(ph.PRIMARY) + rng.choice(ends)))
+    return rows
+
+
+def searched(rows, query, k):
+    """Slant and near matches of one word by going over the whole lexicon: [(match, confidence)], [match]."""
+    far = {(a, b): d for a, b, d in ph.vowel_distances()}
+    tails = [(w, v, p[next(i for i, c in enumerate(p) if c in ph.PRIMARY) :].translate(str.maketrans(ph.PRIMARY, ph.PLAIN))) for w, v, p in rows]
+    slant, near = [], []
+    for _, v, t in (x for x in tails if x[0] == query):
+        nucleus, coda = t[0], t[1:]
+        met, close = {}, {}
+        for w, _, u in tails:
+            if w == query:
+                continue
+            d, end = far[nucleus, u[0]], u[1:]
+            if end == coda and u[0] != nucleus:
+                rank = (0, "", 0, d, u[0])
+            elif len(coda) >= 2 and len(end) > len(coda) and end.endswith(coda):
+                rank = (1, end, len(end) - len(coda), 5 if u[0] == nucleus else d, u[0])
+            elif len(end) >= 2 and len(coda) > len(end) and coda.endswith(end):
+                rank = (2, "", len(coda) - len(end), 5 if u[0] == nucleus else d, u[0])
+            else:
+                rank = None
+            if rank and rank[3] <= 50:
+                met[w] = min(met.get(w, rank), rank)
+            short, long = sorted((coda, end), key=len)
+            one = len(short) == len(long) and sum(a != b for a, b in zip(short, long)) == 1 or len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+            if u[0] == nucleus and one and max(len(coda), len(end)) <= 3:
+                close[w] = min(close.get(w, end), end)
+        kept = sorted((r, w) for w, r in met.items())[:k]
+        slant.append((-len(kept), v, kept))
+        first = sorted((e, w) for w, e in close.items())[: max(4 * k, 200)]
+        near.append((-len(first), v, [(abs(len(e) - len(coda)), w) for e, w in first]))
+    conf = lambda r: round((1 - r[3] / 100 if r[0] == 0 else max(1 - r[3] / 100 - 0.06 * r[2], 0.15)) * 10000) / 10000
+    found = sorted(((conf(r), w) for r, w in min(slant)[2]), key=lambda x: (-x[0], x[1]))
+    return [(w, c) for c, w in found], [w for _, w in sorted(min(near)[2])[:k]]
+
+
+@pytest.mark.parametrize("n, k", [(2_000, 5), (2_000, 60), (60, 20)])
+def test_searches_against_whole_lexicon(spark, n, k):
+    rows = synthetic(n)
+    e = Engine(spark, spark.createDataFrame(rows, "word string, variant int, pron string"))
+    asked = [word_no(i) for i in range(0, 56, 5)]
+    q = words(spark, *asked)
+    slant, near = e.slant_rhymes(q, k).collect(), e.near_rhymes(q, k).collect()
+    for w in asked:
+        a, b = searched(rows, w, k)
+        assert [(r.match, r.confidence) for r in sorted((r for r in slant if r.word == w), key=lambda r: r.pos)] == a
+        assert [r.match for r in sorted((r for r in near if r.word == w), key=lambda r: r.pos)] == b
+
+
+def test_searches_in_a_large_lexicon(spark):
+    rows = synthetic(100_000, codas=3_000)
+    e = Engine(spark, spark.createDataFrame(rows, "word string, variant int, pron string"))
+    got = e.rhymes(words(spark, *(word_no(i) for i in range(0, 100_000, 1_000))), 20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    per = {}
+    for r in got.collect():
+        per.setdefault(r.word, []).append(r.pos)
+    assert len(per) == 100 and all(sorted(p) == list(range(1, len(p) + 1)) and len(p) <= 20 for p in per.values())
+
+
 def test_compare(spark, engine):
     p = spark.createDataFrame([("cat", "bat"), ("cat", "elephant"), ("cat", "xyzzyplugh"), ("night", "nice"), ("cat", "cat")], "word1 string, word2 string")
     got = {(r.word1, r.word2): r for r in engine.compare(p).collect()}
@@ -191,6 +288,21 @@ def test_meter(spark):
     assert b.mismatch_positions == [4, 5] and b.stress_agreement == 0.6667 and c.stress_agreement == 1.0
 
 
+def test_meter_of_any_length(spark):
+    rng = random.Random(2)
+    bits = [format(rng.getrandbits(n + 1) | 1 << n, "b")[1:] for n in [*range(1, 70), 119, 120, 121, 180, 181, 400]]
+    got = {r.bits: r for r in prosody.metered(spark.createDataFrame([(b,) for b in bits], "bits string")).collect()}
+    feet = {"iamb": "01", "trochee": "10", "anapest": "001", "dactyl": "100", "spondee": "11", "pyrrhic": "00"}
+    for b in bits:
+        scores = {}
+        for name, f in feet.items():
+            agree, over = sum(c == f[i % len(f)] for i, c in enumerate(b)), len(b) % len(f)
+            raw = agree / len(b) * (1 - 0.05 * over / len(f) if over else 1.0)
+            scores[name] = 0.0 if len(b) < len(f) else int(raw * 10000 + 0.5) / 10000
+        best = max(scores, key=scores.get)  # the first among equals
+        assert (got[b].foot_type, got[b].regularity, got[b].foot_count) == (best, scores[best], len(b) // len(feet[best]))
+
+
 def test_scan_and_document(spark, engine):
     api = Api(engine)
     s = api.scan("uneasy lies the head that wears the crown", "")
@@ -212,3 +324,35 @@ def test_rpc(engine):
     assert json.loads(handle_line(api, "{"))["error"]["code"] == -32700
     assert json.loads(handle_line(api, '{"id": 2, "method": "nope"}'))["error"]["code"] == -32601 and handle_line(api, '{"method": "notifications/initialized"}') is None
     assert len(json.loads(handle_line(api, '{"id": 3, "method": "tools/list"}'))["result"]["tools"]) == 5
+    assert len(json.loads(call("rhymes", word="cat", limit=3)["content"][0]["text"])) == 3 and call("rhymes")["isError"] and call("lookup", word=3)["isError"]
+    long = json.loads(call("analyze_document", lines=["cat " * 300])["content"][0]["text"])
+    assert long["summary"]["totalWordTokens"] == 300
+    assert "line1" not in json.loads(call("scan", line="the cat")["content"][0]["text"])
+
+
+def test_http(engine):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from cadenza import serve
+
+    api = Api(engine)
+    get = lambda path: serve.respond(api, "GET", path)
+    post = lambda path, value: serve.respond(api, "POST", path, json.dumps(value).encode())
+    status, cat = get("/rhymes?word=cat&limit=5")
+    assert status == 200 and set(cat) == {"word", "phonemes", "syllables", "matches"} and len(cat["matches"]) == 5 and cat["syllables"] == 1
+    assert [get(p)[0] for p in ("/syllables", "/syllables?word=", "/syllables?word=xyzzyplugh", "/rhymes?word=cat&limit=x", "/nope", "/rhymemap", "/compare?word1=cat")] == [400, 400, 404, 400, 404, 405, 400]
+    assert get("/syllables?word=cat")[1]["word"] == "CAT" and get("/compare?word1=cat&word2=bat")[1]["rhymeType"] == "perfect"
+    assert get("/scan?line1=the%20cat")[1]["line2"] is None and all(get(f"/rhymes/{k}?word=cat")[0] == 200 for k in ("perfect", "slant", "near"))
+    assert [x["total"] for x in post("/syllable-counts", {"lines": ["the cat", ""]})[1]["lines"]] == [2, 0]
+    assert post("/document", {"lines": ["cat " * 300]})[1]["summary"]["totalWordTokens"] == 125  # 500 bytes of the line
+    assert post("/rhymemap", {"lines": []})[0] == 400 and post("/rhymemap", {"lines": ["cat hat"]})[0] == 200 and post("/document", {})[0] == 400
+    assert serve.respond(api, "POST", "/document", b"x" * 70_000)[0] == 413 and serve.respond(api, "POST", "/document", b"[")[0] == 400
+    with serve.server(api, port=0) as s:
+        threading.Thread(target=s.serve_forever, daemon=True).start()
+        at = f"http://127.0.0.1:{s.server_address[1]}"
+        assert json.loads(urllib.request.urlopen(f"{at}/health").read())["status"] == "ok"
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(f"{at}/syllables")
+        s.shutdown()
