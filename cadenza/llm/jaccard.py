@@ -211,16 +211,16 @@ class JaccardJoin:
 
         return self.ws.table("deciding", self.docs.select("text").mapInArrow(deciding, "key binary, n long, g long, sketch binary, tokens array<long>"))
 
-    def _open(self) -> DataFrame:
-        """(b1, b2, key, b): the members to verify of every pair of groups, and of every group alone, that the bounds leave."""
+    def _pairs(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The deciding grams, blocks(key, b, wide: of a group of several blocks) and opened(b1, b2): the pairs of blocks, and blocks alone, that the bounds leave."""
         d = self._deciding()
         c = d.groupBy("key").agg(F.first("n").alias("n"), F.first("g").alias("g"))
         c = self.ws.table("grouped", c)
         wide = c.groupBy("g").agg(F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK_TOKENS), F.count("*") / F.lit(BLOCK_SETS))).alias("cuts")).where("cuts > 1")
         wide = self.ws.table("wide", wide)  # few rows; written, so that Spark knows whether they may be broadcast
         placed = c.join(wide, "g", "left").withColumn("b", F.xxhash64("g", F.pmod(F.xxhash64("key"), F.coalesce("cuts", F.lit(1)))))
-        blocked = self.ws.table("blocks", placed.select("key", "b"))
-        cells = d.join(blocked, "key").select(F.explode("tokens").alias("token"), "b", "n", F.xxhash64("key").alias("k"))
+        blocked = self.ws.table("blocks", placed.select("key", "b", F.col("cuts").isNotNull().alias("wide")))
+        cells = d.join(blocked.drop("wide"), "key").select(F.explode("tokens").alias("token"), "b", "n", F.xxhash64("key").alias("k"))
         cells = cells.repartition(F.col("token")).groupBy("token", "b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), (F.min("k") != F.max("k")).alias("several"))
         among = Window.partitionBy("token")
         m = self.ws.table("matrix", cells.withColumn("groups", F.count(F.lit(1)).over(among)).where("groups > 1 OR several"))
@@ -229,8 +229,13 @@ class JaccardJoin:
         own = m.where("several").groupBy(F.col("b").alias("b1"), F.col("b").alias("b2")).agg(F.count("*").alias("shared"), F.min("lo").alias("lo"))
         pairs = bound.unionByName(own).where(f"shared >= least({SHARED}, ceil({self.num} * lo / {self.den}))")
         opened = self.ws.table("opened", pairs.select("b1", "b2"))
+        self.ws.drop("grouped", "matrix")
+        return d, blocked, opened
+
+    def _flagged(self, d: DataFrame, blocked: DataFrame, opened: DataFrame, name: str) -> DataFrame:
+        """(b1, b2, key, b): the members to verify of the opened pairs, by their sketches."""
         sides = opened.select("b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("b"))
-        members = blocked.join(sides, "b")
+        members = blocked.drop("wide").join(sides, "b")
         num, den = self.num, self.den
 
         def flag(table: pa.Table) -> pa.Table:
@@ -246,9 +251,7 @@ class JaccardJoin:
             return pa.table({"b1": pa.array([left] * size, pa.int64()), "b2": pa.array([right] * size, pa.int64()), "key": pa.array(kept, pa.binary()), "b": pa.array([known[k][0] for k in kept], pa.int64())})
 
         looked = d.select("key", "n", "sketch").join(members, "key").groupBy("b1", "b2").applyInArrow(flag, "b1 long, b2 long, key binary, b long")
-        flagged = self.ws.table("flagged", looked)
-        self.ws.drop("deciding", "grouped", "matrix", "opened")
-        return flagged
+        return self.ws.table(name, looked)
 
     def _marks(self, flagged: DataFrame):
         """Broadcast of the bit table of the opened keys."""
@@ -268,10 +271,12 @@ class JaccardJoin:
             table[r.chunk * MARK_BITS // 8 : (r.chunk + 1) * MARK_BITS // 8] = np.frombuffer(r.bits, dtype=np.uint8)
         return self.spark.sparkContext.broadcast(table.tobytes())
 
-    def links(self, forest: bool = False) -> DataFrame:
+    def links(self) -> DataFrame:
         """(a, b, inter, similarity): keys of linked classes, a < b as bytes."""
+        return self._verified(self._flagged(*self._pairs(), "flagged"))
+
+    def _verified(self, flagged: DataFrame, forest: bool = False) -> DataFrame:
         n, num, den = self.n, self.num, self.den
-        flagged = self._open()
         marks = self._marks(flagged)
 
         def sets(batches):
@@ -307,9 +312,36 @@ class JaccardJoin:
 
         return rows.groupBy("b1", "b2").applyInArrow(verify, "a binary, b binary, inter long, similarity double")
 
+    def _edges(self) -> DataFrame:
+        """(a, b): links enough to connect every component.
+
+        Pairs of blocks of wide groups, families of near copies mostly, wait: at first only one of each block's pairs is
+        opened. Of the others those are opened later whose blocks do not lie in one component by then.
+        """
+        d, blocked, opened = self._pairs()
+        wide = self.ws.table("wide-blocks", blocked.where("wide").select("b").distinct())
+        one = lambda side: wide.select(F.col("b").alias(side), F.lit(True).alias(f"wide_{side}"))
+        marked = opened.join(one("b1"), "b1", "left").join(one("b2"), "b2", "left").withColumn("family", F.expr("b1 <> b2 AND wide_b1 AND wide_b2")).select("b1", "b2", F.coalesce("family", F.lit(False)).alias("family"))
+        marked = self.ws.table("marked", marked)
+        star = marked.where("family").groupBy("b2").agg(F.min("b1").alias("b1"))
+        now = marked.where("NOT family").select("b1", "b2").unionByName(star.select("b1", "b2"))
+        edges = self.ws.table("links-1", self._verified(self._flagged(d, blocked, now, "flagged-1"), True).select("a", "b"))
+        later = self.ws.table("later", marked.where("family").select("b1", "b2").join(star, ["b1", "b2"], "left_anti"))
+        if later.isEmpty():
+            return edges
+        roots = components(edges, self.ws, "cc-first").withColumnRenamed("node", "key")
+        lie = blocked.where("wide").join(roots, "key", "left").select("b", F.coalesce("root", "key").alias("root"))
+        whole = lie.groupBy("b").agg(F.min("root").alias("root"), F.max("root").alias("last")).where("root = last").select("b", "root")
+        tied = later.join(whole.select(F.col("b").alias("b1"), F.col("root").alias("r1")), "b1").join(whole.select(F.col("b").alias("b2"), F.col("root").alias("r2")), "b2").where("r1 = r2")
+        left = self.ws.table("left", later.join(tied.select("b1", "b2"), ["b1", "b2"], "left_anti"))
+        if left.isEmpty():
+            return edges
+        more = self._verified(self._flagged(d, blocked, left, "flagged-2"), True)
+        return edges.unionByName(self.ws.table("links-2", more.select("a", "b")))
+
     def labelled(self) -> DataFrame:
-        edges = self.ws.table("links", self.links(forest=True).select("a", "b"))
-        roots = components(edges, self.ws).withColumnRenamed("node", "key")
+        roots = components(self._edges(), self.ws).withColumnRenamed("node", "key")
+        self.ws.drop("deciding")
         c = self.classes().select("key", "rep")
         tied = roots.join(c, "key")
         least = tied.groupBy("root").agg(F.min("rep").alias("least"))
