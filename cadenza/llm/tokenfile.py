@@ -32,10 +32,29 @@ CHECKSUM_FLAG = 0x80
 #: Words an encoder remembers; about 60 MB. Beyond that it starts anew, which changes speed only.
 REMEMBERED = 1_000_000
 ENCODE_RUN = 4 << 20
+#: The normalizers and the split pattern of tokenizers whose texts may be cut into pieces as WordEncoder does.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTER = tb.byte_class((97, 122))
 _STOP = np.isin(np.arange(256), list(b".,;:!?"))
 
 
+def cuts_alike(path: str) -> bool:
+    """Whether a tokenizer file drops case and white space and splits words by SPLIT, so that pieces may be encoded apart."""
+    with open(path, encoding="utf-8") as f:
+        kept = json.load(f)
+    normal = kept.get("normalizer") or {}
+    parts = (kept.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    first = parts[0]
+    return (
+        [n.get("type") for n in normal.get("normalizers", [])] == NORMALIZERS
+        and normal["normalizers"][1].get("pattern") == {"Regex": r"\s+"}
+        and (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
+        and [(p.get("type"), p.get("add_prefix_space"), p.get("use_regex")) for p in parts[1:]] == [("ByteLevel", False, False)]
+        and kept.get("post_processor") is None
+    )
+
+
 def _with(places: np.ndarray, more: np.ndarray, size: int) -> np.ndarray:
     """Both lists of places up to ``size``, in order and once each."""
     mark = np.zeros(size + 1, dtype=bool)
@@ -45,9 +64,9 @@ def _with(places: np.ndarray, more: np.ndarray, size: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Token ids of whole texts from a tokenizer that drops white space and case, each distinct piece encoded once.
+    """Token ids of whole texts; of a tokenizer that drops white space and case each distinct piece is encoded once.
 
-    Equal to ``encode(text, add_special_tokens=False)``: this tokenizer always parts words at ASCII white space
+    A tokenizer file of another make (``cuts_alike`` says so) encodes every text whole. Otherwise equal to ``encode(text, add_special_tokens=False)``: this tokenizer always parts words at ASCII white space
     and between an ASCII letter and one of ``.,;:!?``, and A-Z count as a-z, so a text's ids are the ids of its
     lower-cased pieces in order. Pieces are encoded many at a time, parted by a special token. A run of texts
     that may hold a special token's own text is cut at white space only, keeps its case, and pieces that may
@@ -57,7 +76,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.pieces = Tokenizer.from_file(path), cuts_alike(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = special[-1] if special else None
         self.mark_id = self.tokenizer.token_to_id(self.mark) if special else -1
@@ -94,6 +113,11 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; number of ids of each text)."""
+        if not self.pieces:
+            raw = data.tobytes()
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            got = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
         special = self.hint in data.tobytes()
         if special:
             start, end, of = tb.word_spans(data, offsets, tb.NON_SPACE)
