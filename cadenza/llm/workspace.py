@@ -3,32 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.shared import shared_root
 from cadenza.shipping import ship
 
 __all__ = ["Workspace", "local_path", "opened", "put", "shared_root", "ship"]
 
-_local: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (single-machine tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    already = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if already.isDefined():
-        return already.get().rstrip("/")
-    if not _local:
-        _local.append("file://" + tempfile.mkdtemp(prefix="cadenza-"))
-    return _local[0]
-
-
 class Workspace:
     """A run's own folder below the shared one. Tables written here cut lineage and survive lost executors."""
 

@@ -86,7 +86,9 @@ def test_jaccard(spark, n, share):
     assert pairs == {tuple(sorted((min(k for k in range(len(sets)) if sets[k] == sets[i]), min(k for k in range(len(sets)) if sets[k] == sets[j])))) for i, j in link if sets[i] != sets[j]}
 
 
-def test_jaccard_hot_family(spark):
+@pytest.mark.parametrize("sets_a_block", [1 << 10, 16])
+def test_jaccard_hot_family(spark, monkeypatch, sets_a_block):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", sets_a_block)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -214,6 +216,19 @@ def test_token_files(spark):
     assert tokenfile.read_tokens(tokenfile.write_tokens(frame.limit(0), tokenizer(), 1)).count() == 0
 
 
+def test_token_files_of_another_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokenfile.cuts_alike(tokenizer()) and not tokenfile.cuts_alike(path)
+    texts = corpus(7, 10) + ["Mixed CASE, keeps  two blanks!", None]
+    model = Tokenizer.from_file(path)
+    got = tokenfile.read_tokens(tokenfile.write_tokens(docs(spark, texts).withColumn("start", F.lit("clash")), path, 1)).collect()
+    want = {i: np.array(model.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
 def test_token_counts(spark):
     import public_tokenizers
 
@@ -364,6 +379,82 @@ def test_classifiers(spark, name, label, fold):
     assert sum(a == b for a, b in out) / len(out) >= 0.95
 
 
+def plain_features(text):
+    """The features of every line, one byte at a time."""
+    symbols = b"!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~"
+    own = []
+    for line in text.encode().split(b"\n"):
+        size, words = max(1, len(line)), re.findall(rb"[^\x20\x09-\x0d]+", line)
+        some, share = max(1, len(words)), lambda ok: sum(map(ok, line)) / size  # noqa: B023
+        own.append(
+            [
+                share(lambda b: 65 <= b <= 90), share(lambda b: 97 <= b <= 122 or b >= 128), share(lambda b: 48 <= b <= 57), share(lambda b: b in symbols),
+                line.count(b"|") / some, line.count(b"!") / some, sum(w[-1] in symbols for w in words) / some, sum(a == b for a, b in zip(words, words[1:])) / some,
+                len(set(words)) / some * min(1, len(words) / 8), min(sum(map(len, words)) / some, 40) / 10, np.log1p(len(words)) / 5, float(not words), len(line),
+            ]
+        )
+    return own
+
+
+def test_quality_score_against_brute_force():
+    texts = ["Plain words in a first line\nBAD!! BAD!! ###\n\nagain some plain words | here", "", "é è\tü 12 12", "one\ntwo\nthree\nfour\nfive", "x" * 3000 + "\n!"]
+    rng = np.random.default_rng(7)
+    model = quality.LineField(rng.standard_normal((quality.FEATURES, 2)), rng.standard_normal((2, 2)), (1.3, -0.2))
+    for text, got in zip(texts, model(pa.array(texts))):
+        own = np.array(plain_features(text))
+        n, none = len(own), np.zeros(quality.OWN)
+        x = [np.concatenate([own[i, :-1], own[i - 1, :-1] if i else none, own[i + 1, :-1] if i + 1 < n else none, [1, i == 0, i + 1 == n]]) for i in range(n)]
+        s = np.array(x) @ model.weights
+        good, total = np.zeros(n), 0.0
+        for path in range(1 << n):
+            y = [path >> i & 1 for i in range(n)]
+            w = np.exp(sum(s[i, y[i]] for i in range(n)) + sum(model.trans[y[i], y[i + 1]] for i in range(n - 1)))
+            total, good = total + w, good + w * np.array(y)
+        size = own[:, -1] + 1e-9
+        m = np.clip((good / total * size).sum() / size.sum(), 1e-6, 1 - 1e-6)
+        assert abs(got - 1 / (1 + np.exp(-(1.3 * np.log(m / (1 - m)) - 0.2)))) < 1e-6
+
+
+def test_line_labels_differ_inside_documents():
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choices(["stone", "river", "walks", "under", "quiet", "light"], k=9)) + "."
+    junk = lambda: "!! ".join(rng.choices(["BUY", "NOW", "FREE", "CLICK"], k=9)) + "!!"
+    texts = ["\n".join(plain() for _ in range(6)) for _ in range(60)] + ["\n".join(junk() if k in (1, 2) else plain() for k in range(6)) for _ in range(60)]
+    model = quality.fit(texts, [1] * 60 + [0] * 60)
+    x, _, first = quality.line_features(*tb.utf8(pa.array(texts)))
+    good = quality.marginals(x @ model.weights, model.trans, first)[0].reshape(-1, 6)
+    assert (good[:60] > 0.5).all() and (good[60:, [1, 2]] < 0.5).all() and (good[60:, [0, 3, 4, 5]] > 0.5).mean() > 0.9
+    score = model(pa.array(texts))
+    assert (score[:60] >= 0.5).all() and (score[60:] < 0.5).all()
+
+
+def test_toxicity_against_brute_force():
+    rng = random.Random(21)
+    texts = ["".join(rng.choices("abé A\n", k=rng.randint(0, 60))) for _ in range(40)] + ["", "  "]
+    y = np.array([i % 3 == 0 for i in range(len(texts))], dtype=float)
+    plain = lambda t: " " + re.sub(r"[\t-\r]", " ", t.translate(ASCII)) + " "
+    grams = [{plain(t)[i : i + n] for n in toxicity.GRAMS for i in range(len(t) + 3 - n)} for t in texts]
+    names = sorted(set().union(*grams))
+    data, offsets = tb.utf8(pa.array(texts))
+    found = [set(f.tolist()) for f in toxicity.features(data, offsets)]
+    assert [len(f) for f in found] == [len(g) for g in grams]  # as many slots as n-grams: none shared here
+    for i in range(len(texts)):
+        for j in range(i):
+            assert len(found[i] & found[j]) == len(grams[i] & grams[j])
+    x = np.array([[g in own for g in names] for own in grams], dtype=float)
+    toxic, clean = x[y == 1].sum(axis=0), x[y == 0].sum(axis=0)
+    ratio = np.log((toxic + 4) / (y == 1).sum()) - np.log((clean + 4 * (y == 0).sum() / (y == 1).sum()) / (y == 0).sum())
+    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    v = np.zeros(len(names) + 1)
+    scaled = np.concatenate([x * ratio, np.ones((len(x), 1))], axis=1)
+    for _ in range(20):  # Newton's steps to the minimum of the penalised loss
+        p = 1 / (1 + np.exp(-scaled @ v))
+        keep = np.append(np.full(len(names), 1e-2), 0)
+        v -= np.linalg.solve((scaled * (share * p * (1 - p))[:, None]).T @ scaled + np.diag(keep), scaled.T @ (share * (p - y)) + keep * v)
+    got = toxicity.fit(texts, y.astype(int).tolist())(pa.array(texts))
+    assert np.abs(got - 1 / (1 + np.exp(-scaled @ v))).max() < 0.01
+
+
 def test_toxic_recall_of_few_labels(spark, sf):
     got = {r.doc_id: r for r in entry.QUERIES["op7_nb_toxicity"](spark, sf).collect()}
     known = [(r.toxic, got[r.doc_id]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
@@ -551,6 +642,19 @@ def test_quotas_balance():
         assert all(0 <= take[p] <= wish[p] for p in wish)
 
 
+@pytest.mark.parametrize("name", sorted(entry.SQL))
+def test_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = entry.QUERIES[name](spark, sf), con.sql(entry.SQL[name])
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    assert sorted(map(repr, (tuple(r[c] for c in cols) for r in got.collect()))) == sorted(map(repr, want.select(*cols).fetchall()))
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
@@ -567,3 +671,70 @@ def test_pipeline(spark, sf):
     assert seen[3] == seen[2]
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in out} == seen[3]
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    texts = corpus(8, 30)
+    rows = [(i if i % 11 else None, t, "en", f"s{i % 3}", 1, "mine", "mine", 3) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (rows[3][0], "quite another text that merely repeats an id of the first", "en", "s0", 1, "mine", "mine", 3)]
+    frame = spark.createDataFrame(rows, DOC + ", score string, row string, N_HIT int")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(ASCII))
+    items = [(None, " ".join(words(texts[0])[:14])), (1, texts[5])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    everything = Counter(map(tuple, rows))
+
+    for d, whole in ((f"{tmp_path}/none", True), (str(tmp_path), False)):
+        got = Counter(tuple(r) for r in stage["quality"](spark, frame, d).collect())
+        scored = quality.score_quality(frame.select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")).collect()
+        good = {(r.doc_id, r.text) for r in scored if r.predicted == 1}
+        assert got == Counter({r: n for r, n in everything.items() if (r[0], r[1]) in good}) and (not whole or got == everything)
+
+    sets = shingle_sets([r[1] for r in rows], 5)
+    linked = lambda a, b: a and b and 10 * len(a & b) >= 8 * len(a | b)
+    link = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][:2] == rows[j][:2] or linked(sets[i], sets[j])]
+    root = list(range(len(rows)))
+    for _ in range(len(rows)):
+        for i, j in link:
+            root[i] = root[j] = min(root[i], root[j])
+    kept = stage["near_duplicates"](spark, frame, str(tmp_path)).collect()
+    group = {r[:2]: root[i] for i, r in enumerate(rows)}
+    assert kept and Counter(group[tuple(r)[:2]] for r in kept) == Counter(set(root))
+    for r in kept:
+        own = [x[0] for x in rows if group[x[:2]] == group[tuple(r)[:2]]]
+        assert r.doc_id == min((i for i in own if i is not None), default=None)
+
+    windows = {tuple(w[k : k + 10]) for _, t in items for w in [words(t)] for k in range(len(w) - 9)}
+    hit = lambda w: any(tuple(w[k : k + 10]) in windows for k in range(len(w) - 9))
+    clean = Counter({r: n for r, n in everything.items() if not hit(words(r[1]))})
+    assert Counter(tuple(r) for r in stage["decontamination"](spark, frame, str(tmp_path)).collect()) == clean and clean != everything
+
+    mixed = Counter(tuple(r) for r in stage["mixing"](spark, frame, str(tmp_path)).collect())
+    assert set(mixed) == set(everything) and all(everything[r] <= n <= 2 * everything[r] for r, n in mixed.items())
+
+    model = Tokenizer.from_file(tokenizer())
+    ids = Counter((r[0], len(e := [*model.encode(r[1] or "", add_special_tokens=False).ids, 1]), zlib.crc32(np.array(e, "<u4").tobytes())) for r in rows)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in stage["token_files"](spark, frame, str(tmp_path)).collect()) == ids
+
+    for _, run in corpus_pipeline.STAGES[:-1]:
+        none = run(spark, frame.limit(0), str(tmp_path))
+        assert none.columns == frame.columns and none.count() == 0
+
+
+def test_odd_tables(spark):
+    rows = [(None, "a b c d"), (None, "a b c d"), (5, None), (5, "z " * 60_000), (5, "z " * 60_000), (1, "q"), (1, "r")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("shard", "key", "link", "rid", "n_shingles", "size")})
+    got = shards.shard(frame, 3).collect()
+    assert sorted(Counter(r.shard for r in got).values()) == [2, 2, 3] and Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    joined = jaccard.JaccardJoin(frame, 3, Fraction(9, 10)).labelled().collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in joined) == Counter([(None, 2, None), (None, 2, None), (5, 0, 5), (5, 1, 5), (5, 1, 5), (1, 1, 1), (1, 1, 1)])
+    assert jaccard.JaccardJoin(frame.limit(0)).labelled().count() == 0
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (1, "u", "x" * 200), (2, "v", "x" * 200), (None, None, None)], "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    back = Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_warc(warc.write_warc(pages)).collect())
+    assert back == Counter([(1, "response", None, 200), (1, "response", None, 200), (2, "revisit", 1, 200), (None, "response", None, 0)])
