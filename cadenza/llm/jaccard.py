@@ -42,6 +42,8 @@ CHUNK = 1 << 16
 SHARED = 3
 #: Grams and members of a block of a large group.
 BLOCK_TOKENS, BLOCK_SETS = 1 << 16, 1 << 10
+#: Blocks of a large group up to which all their pairs are opened at once; pairs of larger families wait (see ``_edges``).
+FAMILY_BLOCKS = 16
 #: Opened sets are marked in a broadcast table of 256 chunks of so many bits (8 MB, whatever the input), so that most others
 #: stay out of the shuffle; what a shared bit lets through, the join on the key drops.
 MARK_BITS = 1 << 18
@@ -212,14 +214,13 @@ class JaccardJoin:
         return self.ws.table("deciding", self.docs.select("text").mapInArrow(deciding, "key binary, n long, g long, sketch binary, tokens array<long>"))
 
     def _pairs(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The deciding grams, blocks(key, b, wide: of a group of several blocks) and opened(b1, b2): the pairs of blocks, and blocks alone, that the bounds leave."""
+        """The deciding grams, blocks(key, b, wide: of a group of more than FAMILY_BLOCKS blocks) and opened(b1, b2): the pairs of blocks, and blocks alone, that the bounds leave."""
         d = self._deciding()
         c = d.groupBy("key").agg(F.first("n").alias("n"), F.first("g").alias("g"))
-        c = self.ws.table("grouped", c)
         wide = c.groupBy("g").agg(F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK_TOKENS), F.count("*") / F.lit(BLOCK_SETS))).alias("cuts")).where("cuts > 1")
         wide = self.ws.table("wide", wide)  # few rows; written, so that Spark knows whether they may be broadcast
         placed = c.join(wide, "g", "left").withColumn("b", F.xxhash64("g", F.pmod(F.xxhash64("key"), F.coalesce("cuts", F.lit(1)))))
-        blocked = self.ws.table("blocks", placed.select("key", "b", F.col("cuts").isNotNull().alias("wide")))
+        blocked = self.ws.table("blocks", placed.select("key", "b", F.coalesce(F.col("cuts") > FAMILY_BLOCKS, F.lit(False)).alias("wide")))
         cells = d.join(blocked.drop("wide"), "key").select(F.explode("tokens").alias("token"), "b", "n", F.xxhash64("key").alias("k"))
         cells = cells.repartition(F.col("token")).groupBy("token", "b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), (F.min("k") != F.max("k")).alias("several"))
         among = Window.partitionBy("token")
@@ -228,9 +229,7 @@ class JaccardJoin:
         bound = m.alias("x").join(m.alias("y"), F.expr(f"x.token = y.token AND x.b < y.b AND {fits}")).groupBy(F.col("x.b").alias("b1"), F.col("y.b").alias("b2")).agg(F.count("*").alias("shared"), F.min(F.least("x.lo", "y.lo")).alias("lo"))
         own = m.where("several").groupBy(F.col("b").alias("b1"), F.col("b").alias("b2")).agg(F.count("*").alias("shared"), F.min("lo").alias("lo"))
         pairs = bound.unionByName(own).where(f"shared >= least({SHARED}, ceil({self.num} * lo / {self.den}))")
-        opened = self.ws.table("opened", pairs.select("b1", "b2"))
-        self.ws.drop("grouped", "matrix")
-        return d, blocked, opened
+        return d, blocked, pairs.select("b1", "b2")
 
     def _flagged(self, d: DataFrame, blocked: DataFrame, opened: DataFrame, name: str) -> DataFrame:
         """(b1, b2, key, b): the members to verify of the opened pairs, by their sketches."""
@@ -315,11 +314,14 @@ class JaccardJoin:
     def _edges(self) -> DataFrame:
         """(a, b): links enough to connect every component.
 
-        Pairs of blocks of wide groups, families of near copies mostly, wait: at first only one of each block's pairs is
-        opened. Of the others those are opened later whose blocks do not lie in one component by then.
+        Pairs of blocks of very large groups, families of near copies mostly, wait: at first only one of each block's pairs
+        is opened. Of the others those are opened later whose blocks do not lie in one component by then.
         """
         d, blocked, opened = self._pairs()
-        wide = self.ws.table("wide-blocks", blocked.where("wide").select("b").distinct())
+        wide = blocked.where("wide").select("b").distinct()
+        if wide.isEmpty():
+            return self._verified(self._flagged(d, blocked, opened, "flagged"), True).select("a", "b")
+        wide = self.ws.table("wide-blocks", wide)
         one = lambda side: wide.select(F.col("b").alias(side), F.lit(True).alias(f"wide_{side}"))
         marked = opened.join(one("b1"), "b1", "left").join(one("b2"), "b2", "left").withColumn("family", F.expr("b1 <> b2 AND wide_b1 AND wide_b2")).select("b1", "b2", F.coalesce("family", F.lit(False)).alias("family"))
         marked = self.ws.table("marked", marked)
@@ -341,12 +343,12 @@ class JaccardJoin:
 
     def labelled(self) -> DataFrame:
         roots = components(self._edges(), self.ws).withColumnRenamed("node", "key")
-        self.ws.drop("deciding")
+        self.ws.drop("deciding", "matrix")
         c = self.classes().select("key", "rep")
         tied = roots.join(c, "key")
         least = tied.groupBy("root").agg(F.min("rep").alias("least"))
-        named = self.ws.table("named", tied.join(least, "root").select("key", "least"))
-        final = self.ws.table("final", c.join(named, "key", "left").select("key", F.coalesce("least", "rep").alias("component_id")))
+        named = tied.join(least, "root").select("key", "least")
+        final = c.join(named, "key", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
         return self.members().join(final, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

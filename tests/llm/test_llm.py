@@ -89,6 +89,7 @@ def test_jaccard(spark, n, share):
 @pytest.mark.parametrize("sets_a_block", [1 << 10, 16])
 def test_jaccard_hot_family(spark, monkeypatch, sets_a_block):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", sets_a_block)
+    monkeypatch.setattr(jaccard, "FAMILY_BLOCKS", 2)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     texts = []
