@@ -15,6 +15,9 @@ U64 = np.uint64
 #: Texts are handled in runs of about this many bytes, which bounds the memory of the temporaries.
 RUN_BYTES = 1 << 20
 
+#: Bytes of a run or text up to which its table of powers is kept.
+KEPT = 8 * RUN_BYTES
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -54,14 +57,13 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64. Tables for a run are kept, longer ones (of one long text) are made anew."""
-    kept = 2 * RUN_BYTES
-    have = _powers.get(base) if n <= kept else None
-    if have is None:
-        have = np.full(max(n, kept), base, dtype=np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64. Tables for runs are kept, longer ones (of one long text) are made anew."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(2 * RUN_BYTES, n + RUN_BYTES) if n <= KEPT else n, base, dtype=np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if n <= kept:
+        if n <= KEPT:
             _powers[base] = have
     return have[:n]
 

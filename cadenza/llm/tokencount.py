@@ -11,6 +11,8 @@ texts: nothing is shuffled.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 from cadenza.llm import textbytes as tb
 from cadenza.llm.workspace import ship
 
-#: Distinct pre-tokens a task remembers; beyond that it starts anew, which changes speed only.
+#: Distinct pre-tokens a worker remembers; beyond that it starts anew, which changes speed only.
 REMEMBERED = 1_000_000
 RUN = 4 << 20
 #: Levels of the trie.
@@ -157,6 +159,12 @@ class TrieCounter:
         return np.diff(of), upto[of[1:]] - upto[of[:-1]]
 
 
+@functools.cache
+def counter_of(model: str) -> TrieCounter:
+    """One counter for all tasks of a Python worker: pre-tokens that earlier tasks met are known."""
+    return TrieCounter(vocabulary(model))
+
+
 def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns named in ``keep``, n_words (pre-tokens) and n_tokens of every row.
 
@@ -168,7 +176,7 @@ def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *keep)
 
     def run(batches):
-        counter = TrieCounter(vocabulary(model))
+        counter = counter_of(model)
         for batch in batches:
             data, offsets = tb.utf8(batch.column(1))
             words, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
