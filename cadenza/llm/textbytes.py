@@ -26,6 +26,17 @@ _TABLE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint
 _powers: dict[int, np.ndarray] = {}
 
 
+_coder: dict[tuple, object] = {}
+
+
+def kept(make, path: str):
+    """``make(path)``, one for all tasks of a Python worker that ask for the same; only the last one asked for is kept."""
+    if (make.__name__, path) not in _coder:
+        _coder.clear()
+        _coder[make.__name__, path] = make(path)
+    return _coder[make.__name__, path]
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z as a-z; every other byte stays."""
     return _LOWER[data]

@@ -11,8 +11,6 @@ texts: nothing is shuffled.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +52,7 @@ class TrieCounter:
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(keys & tb.U64((1 << 20) - 1)).astype(np.int64)] = True
         self.known, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._flat = None
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Pieces of each of the given distinct pre-tokens (their bytes, mark included)."""
@@ -104,6 +103,7 @@ class TrieCounter:
             result[i] = self._rest(flat, int(start[i]), int(size[i]), [(float(score[d][i]), int(pieces[d][i])) for d in range(max(0, DEPTH - keep + 1), DEPTH + 1)])
         out = np.zeros(n, dtype=np.int64)
         out[order] = result
+        self._flat = self._sums = self._inverse = None  # as large as the pre-tokens; the counter outlives them
         return out
 
     def _rest(self, flat: np.ndarray, start: int, size: int, last: list[tuple[float, int]]) -> int:
@@ -134,7 +134,7 @@ class TrieCounter:
 
     def _keys(self, flat: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
         """Hashes of the m bytes from each place."""
-        if not hasattr(self, "_flat") or self._flat is not flat:
+        if self._flat is not flat:
             self._flat = flat
             self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb._TABLE[flat] * tb.powers(len(flat)), dtype=np.uint64)])
             self._inverse = tb.powers(len(flat) + 1, tb._BASE_INV)
@@ -159,9 +159,7 @@ class TrieCounter:
         return np.diff(of), upto[of[1:]] - upto[of[:-1]]
 
 
-@functools.cache
-def counter_of(model: str) -> TrieCounter:
-    """One counter for all tasks of a Python worker: pre-tokens that earlier tasks met are known."""
+def _counter(model: str) -> TrieCounter:
     return TrieCounter(vocabulary(model))
 
 
@@ -176,7 +174,7 @@ def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *keep)
 
     def run(batches):
-        counter = counter_of(model)
+        counter = tb.kept(_counter, model)  # pre-tokens that earlier tasks met are known
         for batch in batches:
             data, offsets = tb.utf8(batch.column(1))
             words, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

@@ -9,7 +9,6 @@ finds any document from the file's end and decompresses nothing else.
 
 from __future__ import annotations
 
-import functools
 import json
 import struct
 import zlib
@@ -30,8 +29,8 @@ INDEX_MAGIC = 0x184D2A51
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
-#: Words an encoder remembers; about 60 MB. Beyond that it starts anew, which changes speed only.
-REMEMBERED = 1_000_000
+#: Words an encoder remembers; about 25 MB. Beyond that it starts anew, which changes speed only.
+REMEMBERED = 400_000
 ENCODE_RUN = 4 << 20
 #: The normalizers and the split pattern of tokenizers whose texts may be cut into pieces as WordEncoder does.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -147,12 +146,6 @@ class WordEncoder:
         return out, per_text + 1
 
 
-@functools.cache
-def encoder_of(path: str) -> WordEncoder:
-    """One encoder for all tasks of a Python worker: pieces that earlier tasks met are known."""
-    return WordEncoder(path)
-
-
 def frames(rows, dtype: str, level: int = 3):
     """The bytes of a file from (doc_id, id bytes) in order."""
     pack = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
@@ -226,7 +219,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, doc_id: str =
     bounds = np.array(sorted(set(rows.select("doc_id").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else [], dtype=np.float64)
 
     def encode(batches):
-        encoder = encoder_of(tokenizer)
+        encoder = tb.kept(WordEncoder, tokenizer)  # pieces that earlier tasks met are known
         dtype = "<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
             data, offsets = tb.utf8(batch.column(1))
