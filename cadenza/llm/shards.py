@@ -1,29 +1,31 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
-Documents are linked where their texts are equal. The first labels come from a plan of how many groups of each size go
-to each shard, largest first: a group stays whole where a shard has room for it, else it takes the shards with most
-room, and unlinked documents fill the places left. At most one group a shard is split, over as few shards as have the
-room then, and no move or exchange of two documents would link more. Propagation follows: a join tells every linked
-document which shard holds most of its neighbours (of those not yet filled by that group alone); moves towards it are
-admitted under quotas that keep every shard's count: a shard takes as many documents as leave it, moving or unlinked
-ones that fill the places left; of shards with equal counts a hash of group and shard names the one. Rounds end when
-no move is admitted; every move adds to the pairs that share a shard, so they do end. A group is never gathered: the plan works on
-counts of groups per size and rounds on counts per group and shard, and ranks come from bucketed running sums, so a
-group of a third of all rows is spread over tasks.
+Documents are linked where their texts are equal. The first labels deal all documents out evenly by a hash. In each
+round every text takes up the label most common among its documents, of those shards that have not refused it (copies
+have the same neighbours, so a row stands for all of them); of labels with equal counts a hash names the one. A shard
+takes the texts that ask for it largest first, of one size those it has already, as long as they fit whole; the others
+are refused and ask elsewhere in the next round, which may push out smaller ones there. Rounds end when nothing is
+refused; each refusal is final, so they do end. A text with more documents than a shard has places asks in parts of a
+shard's size. What every shard has refused is planned into the places left: whole where that has become possible, else
+over the shards with most room; at most one text a shard is split so. Unlinked documents keep their first label but
+for those that make room. A group of copies is never gathered: rounds work on counts per text and shard, plans on
+counts of texts per size, and ranks come from bucketed running sums, so a group of a third of all rows is spread over
+tasks.
 """
 
 from __future__ import annotations
 
 import json
-from itertools import count
+import re
+from itertools import accumulate, count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.prefix import running
 from cadenza.llm.workspace import Workspace
 
-STAY, FREE = -2, -1
+FREE = -1
 
 
 def plan(groups: dict[int, int], room: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, list[tuple[int, int]]]], list[int]]:
@@ -89,6 +91,43 @@ def quotas(wish: dict[tuple[int, int], int], free: list[int], shards: int) -> tu
     return take, leave
 
 
+def admit(asked: dict[tuple[int, int, bool], int], room: list[int]) -> tuple[dict[tuple[int, int, bool], int], list[int]]:
+    """(number taken by (size, shard, whether it has them already), places left) of the groups that ask for each shard."""
+    left, taken = list(room), {}
+    for n, j, held in sorted(asked, key=lambda a: (-a[0], a[1], not a[2])):
+        taken[n, j, held] = min(asked[n, j, held], left[j] // n)
+        left[j] -= n * taken[n, j, held]
+    return taken, left
+
+
+def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of numbers, without Python workers."""
+    names = [c.split(":")[0] for c in re.split(r",(?![^<]*>)", schema)]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), f"array<struct<{schema}>>")))
+
+
+def propagate(texts: DataFrame, room: list[int], ws: Workspace) -> tuple[DataFrame, list[int]]:
+    """``texts`` (link, part, n, votes: documents per shard) with ``ask``, the shard that takes each, null where none does; places left."""
+    own = ["n", "ask", "held"]
+    votes = F.col("votes")
+    best = F.array_max(F.array(*[F.when(votes[j].isNotNull(), F.struct(votes[j].alias("n"), F.xxhash64("link", "part", F.lit(j)).alias("tie"), F.lit(j).alias("s"))) for j in range(len(room))]))
+    texts = texts.withColumn("held", F.lit(False))
+    for k in count(1):
+        asking = ws.table(f"asking-{k}", texts.withColumn("ask", best["s"]))
+        ws.drop(f"asking-{k - 1}")
+        asked = {(r["n"], r["ask"], r["held"]): r["texts"] for r in asking.where("ask IS NOT NULL").groupBy(*own).agg(F.count("*").alias("texts")).collect()}  # at most two rows per size and shard
+        taken, left = admit(asked, room)
+        short = [(*key, taken[key]) for key in asked if taken[key] < asked[key]]
+        if not short:
+            return asking.drop("votes", "held"), left
+        few = F.broadcast(table(asking.sparkSession, short, "n:bigint,ask:int,held:boolean,taken:bigint"))
+        ranked, _ = running(asking.join(few, own), own, F.xxhash64("link", "part"), F.lit(1), "turn", sum(asked.values()), ws, f"asking-sums-{k}")
+        refused = F.col("turn") >= F.col("taken")
+        without = F.transform(votes, lambda v, j: F.when(j != F.col("ask"), v))
+        ranked = ranked.select("link", "part", "n", F.when(refused, without).otherwise(votes).alias("votes"), (~refused).alias("held"))
+        texts = ranked.unionByName(asking.join(few, own, "left_anti").select("link", "part", "n", "votes", F.col("ask").isNotNull().alias("held")))
+
+
 def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -101,60 +140,52 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     ws = Workspace(spark, "shards")
     raw = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("link"), F.monotonically_increasing_id().alias("rid"))
-    narrow = ws.table("narrow", rows)
+    narrow = ws.table("narrow", rows.withColumn("all", F.lit(0)))
     total = narrow.count()
-    many = ws.table("many", narrow.groupBy("link").agg(F.count("*").alias("n")).where("n > 1"))
-    groups = {r["n"]: r["groups"] for r in many.groupBy("n").agg(F.count("*").alias("groups")).collect()}  # a row per size: less than sqrt(2 * total)
-    whole, split, left = plan(groups, [total // shards + (j < total % shards) for j in range(shards)])
-    # part: 0 for unlinked documents, from 1 for split groups (at most one a shard), null for whole groups, which have a shard
-    places = [(n, a, b, j, None) for n, a, b, j in whole] + [(n, turn, turn + 1, None, i) for i, (n, turn, _) in enumerate(split, 1)]
-    schema = "array<struct<n:bigint,first:bigint,last:bigint,shard:int,part:int>>"
-    listed = [dict(zip(("n", "first", "last", "shard", "part"), x, strict=True)) for x in places]
-    planned = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(listed)), schema)))
-    numbered, _ = running(many, ["n"], F.xxhash64("link"), F.lit(1), "turn", sum(groups.values()), ws, "group-sums")
-    met = numbered.join(F.broadcast(planned), ["n"]).where("turn >= first AND turn < last")
-    goals = ws.table("planned", met.select("link", F.lit(True).alias("linked"), "shard", "part"))
-    placed = narrow.join(goals, "link", "left").withColumn("link", F.when(F.col("linked"), F.col("link")))
-    placed = ws.table("placed", placed.withColumn("part", F.when(F.col("linked"), F.col("part")).otherwise(0)).drop("linked"))
-    loose, _ = running(placed.where("part IS NOT NULL"), ["part"], F.xxhash64("rid"), F.lit(1), "turn", total, ws, "start-sums")
-    to = F.lit(None).cast("int")
-    for i, parts in enumerate([list(enumerate(left)), *(parts for _, _, parts in split)]):
+    dealt, _ = running(narrow, ["all"], F.xxhash64("rid"), F.lit(1), "turn", total, ws, "start-sums")
+    state = ws.table("state", dealt.withColumn("shard", (F.col("turn") % shards).cast("int")).drop("all", "turn"))
+    ws.drop("narrow")
+    room, most = [total // shards + (j < total % shards) for j in range(shards)], max(1, total // shards)
+    many = state.groupBy("link").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("shard") == j) for j in range(shards)]).alias("votes")).where("n > 1")
+    texts = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most).cast("int")))).withColumn("n", F.least(F.lit(most).cast("long"), F.col("n") - F.col("part") * F.lit(most).cast("long")))
+    asking, left = propagate(texts, room, ws)
+    held = asking.where("ask IS NOT NULL").select("link", "part", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"), F.col("ask").alias("s"))).alias("pieces"))
+    refused = asking.where("ask IS NULL")
+    groups = {r["n"]: r["texts"] for r in refused.groupBy("n").agg(F.count("*").alias("texts")).collect()}  # a row per size: less than sqrt(2 * total)
+    if groups:
+        whole, split, left = plan(groups, left)
+        places = [(n, a, b, [{"a": 0, "b": n, "s": j}]) for n, a, b, j in whole]
+        for n, turn, parts in split:
+            ends = list(accumulate(k for _, k in parts))
+            places.append((n, turn, turn + 1, [{"a": b - k, "b": b, "s": j} for b, (j, k) in zip(ends, parts, strict=True)]))
+        planned = F.broadcast(table(spark, places, "n:bigint,first:bigint,last:bigint,pieces:array<struct<a:bigint,b:bigint,s:int>>"))
+        numbered, _ = running(refused, ["n"], F.xxhash64("link", "part"), F.lit(1), "turn", sum(groups.values()), ws, "plan-sums")
+        held = held.unionByName(numbered.join(planned, "n").where("turn >= first AND turn < last").select("link", "part", "pieces"))
+    before = F.col("part") * F.lit(most).cast("long")
+    pieces = held.select("link", F.transform("pieces", lambda p: F.struct((before + p["a"]).alias("a"), (before + p["b"]).alias("b"), p["s"].alias("s"))).alias("pieces"))
+    goals = ws.table("goals", pieces.groupBy("link").agg(F.flatten(F.collect_list("pieces")).alias("pieces")))  # a text has a piece, few have up to two per shard
+    several = F.broadcast(goals.where(F.size("pieces") > 1))
+    spread, _ = running(state.join(several, "link"), ["link"], F.xxhash64("rid"), F.lit(1), "turn", total, ws, "piece-sums")
+    turn = F.col("turn")
+    spread = spread.withColumn("want", F.filter("pieces", lambda p: (p["a"] <= turn) & (turn < p["b"]))[0]["s"]).drop("pieces", "turn")
+    one = goals.where(F.size("pieces") == 1).select("link", F.col("pieces")[0]["s"].alias("want"))
+    others = state.join(several, "link", "left_anti").join(one, "link", "left").withColumn("want", F.coalesce("want", F.lit(FREE)))
+    moving = ws.table("moving", spread.unionByName(others).drop("link"))
+    ws.drop("state")
+    asked = {(r["shard"], r["want"]): r["n"] for r in moving.groupBy("shard", "want").agg(F.count("*").alias("n")).collect()}  # at most shards * (shards + 1) rows
+    wish = {(a, b): n for (a, b), n in asked.items() if b not in (a, FREE)}
+    take, leave = quotas(wish, [asked.get((j, FREE), 0) for j in range(shards)], shards)
+    if take != wish:  # the goals fit all shards, so nothing is cut
+        raise AssertionError("goals exceed the places of a shard")
+    loose, _ = running(moving.where(F.col("want") == FREE), ["shard"], F.xxhash64("rid"), F.lit(1), "turn", total, ws, "leave-sums")
+    to = F.col("shard")
+    for a, out in leave.items():
         first = 0
-        for j, n in parts:
-            to = F.when((F.col("part") == i) & (F.col("turn") >= first) & (F.col("turn") < first + n), F.lit(j)).otherwise(to)
+        for b, n in out:
+            to = F.when((F.col("shard") == a) & (F.col("turn") >= first) & (F.col("turn") < first + n), F.lit(b)).otherwise(to)
             first += n
-    columns = ["doc_id", "size", "text_crc32", "rid", "link", "shard"]
-    state = loose.withColumn("shard", to).select(*columns).unionByName(placed.where("part IS NULL").select(*columns))
-    state = ws.table("state-0", state)
-    ws.drop("placed")
-    held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row per shard
-    sizes = F.create_map(*[F.lit(v).cast("long") for j in range(shards) for v in (j, held.get(j, 0))])
-    for k in count(1):
-        cells = state.where("link IS NOT NULL").groupBy("link", "shard").agg(F.count("*").alias("n"))
-        cells = cells.withColumn("full", F.col("n") >= sizes[F.col("shard").cast("long")])
-        best = F.max(F.when(~F.col("full"), F.struct(F.col("n"), F.xxhash64("link", "shard"), F.col("shard").alias("s"))))
-        goal = cells.groupBy("link").agg(best.alias("top"), F.sort_array(F.collect_list(F.when(F.col("full"), F.col("shard")))).alias("done"), F.count("*").alias("spread"))  # at most a row per shard
-        goal = ws.table(f"goal-{k}", goal.where("spread > 1 AND top IS NOT NULL").select("link", F.col("top.s").alias("goal"), "done"))
-        wants = F.when(F.col("link").isNull(), F.lit(FREE)).when(F.col("goal").isNull() | (F.col("goal") == F.col("shard")) | F.array_contains("done", F.col("shard")), F.lit(STAY)).otherwise(F.col("goal"))
-        moving = ws.table(f"moving-{k}", state.join(goal, "link", "left").withColumn("want", wants).drop("goal", "done"))
-        asked = moving.groupBy("shard", "want").agg(F.count("*").alias("n")).collect()  # at most shards * (shards + 2) rows
-        wish = {(r["shard"], r["want"]): r["n"] for r in asked if r["want"] >= 0}
-        free = [next((r["n"] for r in asked if r["shard"] == j and r["want"] == FREE), 0) for j in range(shards)]
-        take, leave = quotas(wish, free, shards)
-        if not any(take.values()):
-            break
-        ranked, _ = running(moving.where(F.col("want") != STAY), ["shard", "want"], F.xxhash64("rid"), F.lit(1), "turn", total, ws, f"turn-sums-{k}")
-        to = F.col("shard")
-        for (a, b), n in take.items():
-            if n:
-                to = F.when((F.col("shard") == a) & (F.col("want") == b) & (F.col("turn") < n), F.lit(b)).otherwise(to)
-        for a, out in leave.items():
-            first = 0
-            for b, n in out:
-                to = F.when((F.col("shard") == a) & (F.col("want") == FREE) & (F.col("turn") >= first) & (F.col("turn") < first + n), F.lit(b)).otherwise(to)
-                first += n
-        moved = ranked.withColumn("shard", to).drop("turn", "want").unionByName(moving.where(F.col("want") == STAY).drop("want"))
-        state = ws.table(f"state-{k}", moved.select("doc_id", "size", "text_crc32", "rid", "link", "shard"))
-        ws.drop(f"state-{k - 1}", f"moving-{k}", f"goal-{k}")
+    columns = ["doc_id", "size", "text_crc32", "rid", "shard"]
+    state = ws.table("placed", loose.withColumn("shard", to).select(*columns).unionByName(moving.where(F.col("want") != FREE).withColumn("shard", F.col("want")).select(*columns)))
+    ws.drop("moving")
     slots, _ = running(state, ["shard"], F.xxhash64("rid"), F.lit(1), "slot", total, ws, "slot-sums")
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

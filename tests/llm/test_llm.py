@@ -607,6 +607,42 @@ def test_shards_keep_groups_whole(spark, hot, pairs, triples, alone):
     assert sum(len(v) > 1 for v in spread.values()) <= (0 if alone else 8)
 
 
+def test_shards_propagate(spark, monkeypatch):
+    admitted = []
+    quotas = shards.quotas
+    monkeypatch.setattr(shards, "quotas", lambda *a: admitted.append(quotas(*a)) or admitted[-1])
+    texts = [f"p{i // 2}" for i in range(80)] + [f"a{i}" for i in range(20)]
+    spread = {}
+    for r in shards.shard(docs(spark, texts), 4).collect():
+        spread.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert all(len(v) == 1 for v in spread.values())
+    assert sum(sum(take.values()) for take, _ in admitted) > 0  # labels of copies differ at first, so propagation moves some
+
+
+def test_propagation_against_brute_force(spark):
+    rng = random.Random(8)
+    sizes = rng.sample(range(2, 60), 24)  # all different, and so are the votes of a text: no ties
+    votes = {n: rng.sample(range(100), 4) for n in sizes}
+    room = [sum(sizes) // 4 + 1] * 4
+    frame = spark.createDataFrame([(str(n).encode(), 0, n, votes[n]) for n in sizes], "link binary, part int, n long, votes array<long>")
+    got, left = shards.propagate(frame, room, Workspace(spark, "propagate"))
+    refused = {n: set() for n in sizes}
+    while True:
+        ask = {n: max(set(range(4)) - refused[n], key=lambda j: votes[n][j], default=None) for n in sizes}
+        free, new = list(room), []
+        for n in sorted(sizes, reverse=True):
+            if ask[n] is not None and free[ask[n]] >= n:
+                free[ask[n]] -= n
+            elif ask[n] is not None:
+                new.append(n)
+        if not new:
+            break
+        for n in new:
+            refused[n].add(ask[n])
+    assert any(refused.values()) and left == free
+    assert {r.n: r.ask for r in got.collect()} == ask
+
+
 def test_plan_places_all():
     rng = random.Random(7)
     for _ in range(300):
