@@ -10,8 +10,10 @@ finds any document from the file's end and decompresses nothing else.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,14 @@ ENCODE_RUN = 4 << 20
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTER = tb.byte_class((97, 122))
-_STOP = np.isin(np.arange(256), list(b".,;:!?"))
+_STOP = tb.byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+#: Second bytes of the letters of U+00C0 to U+00FF, after 0xC3.
+_LATIN = tb.byte_class((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))
+#: Pieces of a-z and of letters of U+00C0 to U+00FF: normalizers only lower their case, and SPLIT leaves them whole.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The characters that ByteLevel writes for bytes.
+_SHOWN = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
 
 
 def cuts_alike(path: str) -> bool:
@@ -63,12 +72,19 @@ def _with(places: np.ndarray, more: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
+def _shown(word: bytes) -> str:
+    """A piece that _PLAIN matches as the tokenizer's model gets it."""
+    return word.decode() if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(_SHOWN)
+
+
 class WordEncoder:
     """Token ids of whole texts; of a tokenizer that drops white space and case each distinct piece is encoded once.
 
     A tokenizer file of another make (``cuts_alike`` says so) encodes every text whole. Otherwise equal to ``encode(text, add_special_tokens=False)``: this tokenizer always parts words at ASCII white space
-    and between an ASCII letter and one of ``.,;:!?``, and A-Z count as a-z, so a text's ids are the ids of its
-    lower-cased pieces in order. Pieces are encoded many at a time, parted by a special token. A run of texts
+    and between a letter up to U+00FF and ASCII punctuation but the apostrophe, and A-Z count as a-z where no mark
+    can follow (a byte of 0xCC or more), so a text's ids are the ids of its
+    lower-cased pieces in order. Pieces of plain letters go straight to the tokenizer's model, as the steps before it only
+    lower them and write their bytes as characters; others are encoded many at a time, parted by a special token. A run of texts
     that may hold a special token's own text is cut at white space only, keeps its case, and pieces that may
     hold one are encoded one by one.
     """
@@ -77,6 +93,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.pieces = Tokenizer.from_file(path), cuts_alike(path)
+        self.model = self.tokenizer.model
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = special[-1] if special else None
         self.mark_id = self.tokenizer.token_to_id(self.mark) if special else -1
@@ -92,23 +109,26 @@ class WordEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
-        odd = np.array([self.mark is None or self.hint in w for w in words], dtype=bool)
+        kind = np.array([0 if _PLAIN.fullmatch(w) else 2 if self.mark is None or self.hint in w else 1 for w in words], dtype=np.int8)
         ids, counts = [], []
-        plain, gap = [w for w, o in zip(words, odd, strict=True) if not o], f" {self.mark} ".encode()
-        for a in range(0, len(plain), 4096):
-            got = self._ids(gap.join(plain[a : a + 4096]).decode("utf-8", "replace"))
+        plain = [[t.id for t in self.model.tokenize(_shown(words[i]))] for i in np.flatnonzero(kind == 0)]
+        ids.append(np.fromiter(chain.from_iterable(plain), np.uint32))
+        counts.append(np.fromiter(map(len, plain), np.int64))
+        other, gap = [words[i] for i in np.flatnonzero(kind == 1)], f" {self.mark} ".encode()
+        for a in range(0, len(other), 4096):
+            got = self._ids(gap.join(other[a : a + 4096]).decode("utf-8", "replace"))
             marks = np.flatnonzero(got == self.mark_id)
             counts.append(np.diff(np.concatenate([[-1], marks, [len(got)]])) - 1)
             ids.append(np.delete(got, marks))
-        for i in np.flatnonzero(odd):
+        for i in np.flatnonzero(kind == 2):
             ids.append(self._ids(words[i].decode("utf-8", "replace")))
             counts.append(np.array([len(ids[-1])]))
-        keys = np.concatenate([keys[~odd], keys[odd]])
+        keys = keys[np.argsort(kind, kind="stable")]
         count = np.concatenate(counts).astype(np.int64)
         first = len(self.pool) + np.cumsum(count) - count
         self.pool = np.concatenate([self.pool, *ids])
         keys, first, count = np.concatenate([self.keys, keys]), np.concatenate([self.first, first]), np.concatenate([self.count, count])
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")  # a few sorted runs, which a stable sort merges
         self.keys, self.first, self.count = keys[order], first[order], count[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +142,13 @@ class WordEncoder:
         if special:
             start, end, of = tb.word_spans(data, offsets, tb.NON_SPACE)
         else:
-            data = tb.lowered(data)
+            marked = np.flatnonzero(data[1:] >= 0xCC)  # before a mark case matters: T with U+0308 stays two characters, t becomes one
+            raw, data = data, tb.lowered(data)
+            data[marked] = raw[marked]
             start, end, _ = tb.word_spans(data, offsets, tb.NON_SPACE)
-            cut = 1 + np.flatnonzero(_LETTER[data[:-1]] & _STOP[data[1:]])
+            letter = _LETTER[data[:-1]]
+            letter[1:] |= _LATIN[data[1:-1]] & (data[:-2] == 0xC3)
+            cut = 1 + np.flatnonzero(letter & _STOP[data[1:]])
             start, end = _with(start, cut, len(data)), _with(end, cut, len(data))
             of = np.searchsorted(start, offsets)
         keys = tb.span_hashes(data, start, end)

@@ -217,6 +217,28 @@ def test_token_files(spark):
     assert tokenfile.read_tokens(tokenfile.write_tokens(frame.limit(0), tokenizer(), 1)).count() == 0
 
 
+def test_encoder_of_new_words(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    model = Tokenizer.from_file(tokenizer())
+    latin = [chr(c) for c in range(0xC0, 0x100)]
+    odd = [*string.ascii_letters, *latin, *latin, "\u0301", "\u0308", "\u0338", "\u0130", "\u212a", "'", "'s", "%%", "!", "=", "7", "\u00aa", "<|", " ", " "]
+    texts = ["", None, "a.", "\u00e9", "T\u0308 J\u030c w\u030a H\u0591\u0331", *["".join(rng.choices(odd, k=rng.randint(1, 40))) for _ in range(3_000)]]
+    for part in (texts, [t for t in texts if t and "<|" not in t]):
+        ids, count = tokenfile.WordEncoder(tokenizer()).encode(*tb.utf8(pa.array(part, pa.string())), 1)
+        want = [e.ids + [1] for e in model.encode_batch([t or "" for t in part], add_special_tokens=False)]
+        assert count.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    words = "".join(rng.choices("abc\u00e9", k=9)) + "%%% " + "".join(rng.choices("xyz", k=9)) + "."
+    encoder, slow = tokenfile.WordEncoder(tokenizer()), []
+    whole = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda text: slow.append(text) or whole(text))
+    ids, _ = encoder.encode(*tb.utf8(pa.array([words])), 1)
+    assert ids.tolist() == [*model.encode(words, add_special_tokens=False).ids, 1]
+    assert not re.search("[a-z]", "".join(slow).replace(encoder.mark, ""))  # words of plain letters skip the slow steps
+
+
 def test_token_files_of_another_tokenizer(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
