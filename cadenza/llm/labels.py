@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.llm import textbytes as tb
 from cadenza.llm.workspace import Workspace, ship
 
 #: A fitted model is sent from its task in pieces of this size.
@@ -51,7 +52,7 @@ def fitted(chosen: DataFrame, fit, ws: Workspace):
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["k", "part"])
 
     kept = ws.table("sample", chosen.select("doc_id", "y", "text"))
-    got = kept.repartition(1).mapInArrow(run, "k int, part binary").collect()  # the size of the model, which is fixed
+    got = kept.repartition(1).mapInArrow(tb.tidied(run), "k int, part binary").collect()  # the size of the model, which is fixed
     return pickle.loads(b"".join(bytes(r.part) for r in sorted(got, key=lambda r: r.k)))
 
 
@@ -69,5 +70,5 @@ def with_scores(docs: DataFrame, scorer, doc_id: str, text: str, folds: int, fol
             score = scorer(batch.column(where).cast(pa.large_string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(score, pa.float64())], [*batch.schema.names, "score"])
 
-    scored = base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
+    scored = base.mapInArrow(tb.tidied(run), T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.select(*base.columns, held_out(doc_id, folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

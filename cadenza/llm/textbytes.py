@@ -6,6 +6,7 @@ text costs some tens of nanoseconds a byte and no Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,15 +16,16 @@ U64 = np.uint64
 #: Texts are handled in runs of about this many bytes, which bounds the memory of the temporaries.
 RUN_BYTES = 1 << 20
 
-#: Bytes of a run or text up to which its table of powers is kept.
-KEPT = 8 * RUN_BYTES
+#: Powers are kept for the places of one block of this many (a power of two) bytes; any other is such a power times that of its block.
+BLOCK_BITS = 16
+BLOCK = 1 << BLOCK_BITS
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_powers: dict[int, np.ndarray] = {}
+_block: dict[int, np.ndarray] = {}
 
 
 _coder: dict[tuple, object] = {}
@@ -37,6 +39,24 @@ def kept(make, path: str):
     return _coder[make.__name__, path]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: the allocators of a Python worker keep it, and the worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(work):
+    """``work`` of a mapInArrow, which at the end of a task gives back the memory that its batches took."""
+
+    def run(batches):
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z as a-z; every other byte stays."""
     return _LOWER[data]
@@ -67,16 +87,36 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
+def _geometric(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _factors(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i modulo 2**64 is the product of the first at i % BLOCK and the second at i // BLOCK, for i up to n."""
+    if base not in _block:
+        _block[base] = _geometric(BLOCK, base)
+    return _block[base], _geometric(n // BLOCK + 1, pow(base, BLOCK, 1 << 64))
+
+
 def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64. Tables for runs are kept, longer ones (of one long text) are made anew."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(2 * RUN_BYTES, n + RUN_BYTES) if n <= KEPT else n, base, dtype=np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if n <= KEPT:
-            _powers[base] = have
-    return have[:n]
+    """base**0 .. base**(n-1) modulo 2**64."""
+    low, high = _factors(n, base)
+    return np.multiply.outer(high, low[:n]).ravel()[:n]
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """0 and the running sums of byte value times base**place, modulo 2**64, block by block: the sums are all it takes."""
+    low, high = _factors(len(data), _BASE)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    for k, a in enumerate(range(0, len(data), BLOCK)):
+        own = _TABLE[data[a : a + BLOCK]]
+        own *= low[: len(own)]
+        own *= high[k]
+        own[:1] += total[a : a + 1]
+        np.cumsum(own, dtype=np.uint64, out=total[a + 1 : a + 1 + len(own)])
+    return total
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,9 +163,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span: a polynomial over random byte values, from prefix sums, then mixed with the length."""
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[data] * powers(len(data)), dtype=np.uint64, out=total[1:])
-    h = (total[end] - total[start]) * powers(len(data) + 1, _BASE_INV)[start]
+    total = prefix_sums(data)
+    low, high = _factors(len(data), _BASE_INV)
+    h = (total[end] - total[start]) * low[start & (BLOCK - 1)] * high[start >> BLOCK_BITS]
     return mix(h + (end - start).astype(np.uint64) * U64(0xA24BAED4963EE407))
 
 

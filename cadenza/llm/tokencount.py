@@ -136,7 +136,7 @@ class TrieCounter:
         """Hashes of the m bytes from each place."""
         if self._flat is not flat:
             self._flat = flat
-            self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb._TABLE[flat] * tb.powers(len(flat)), dtype=np.uint64)])
+            self._sums = tb.prefix_sums(flat)
             self._inverse = tb.powers(len(flat) + 1, tb._BASE_INV)
         h = (self._sums[at + m] - self._sums[at]) * self._inverse[at]
         return tb.mix(h + tb.U64((m * 0xA24BAED4963EE407) & (2**64 - 1)))
@@ -184,4 +184,4 @@ def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
                 tokens.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(name) for name in keep), pa.array(np.concatenate(words), pa.int64()), pa.array(np.concatenate(tokens), pa.int64())], ["doc_id", *keep, "n_words", "n_tokens"])
 
-    return rows.mapInArrow(run, T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField(c, T.LongType()) for c in ("n_words", "n_tokens")]))
+    return rows.mapInArrow(tb.tidied(run), T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField(c, T.LongType()) for c in ("n_words", "n_tokens")]))

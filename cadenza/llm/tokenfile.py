@@ -284,9 +284,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, doc_id: str =
         put(path, frames(every(), f"<u{width}"))
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([path]), pa.array([docs_], pa.int64()), pa.array([tokens], pa.int64())], ["part", "path", "documents", "tokens"])
 
-    encoded = rows.mapInArrow(encode, "part int, doc_id long, width int, ids binary")
+    encoded = rows.mapInArrow(tb.tidied(encode), "part int, doc_id long, width int, ids binary")
     dealt = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
-    return ws.table("files", dealt.mapInArrow(write, "part int, path string, documents long, tokens long"))
+    return ws.table("files", dealt.mapInArrow(tb.tidied(write), "part int, path string, documents long, tokens long"))
 
 
 def read_tokens(files: DataFrame) -> DataFrame:

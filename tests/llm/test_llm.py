@@ -4,9 +4,12 @@ import hashlib
 import random
 import re
 import string
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +63,54 @@ def test_word_spans_and_hashes():
         assert len(set(h.tolist())) == len({w for ws in got for w in ws})
 
 
+def test_span_hashes_across_blocks():
+    """Sums of byte values times powers, put together block by block, against whole numbers."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 2 * tb.BLOCK + 77).astype(np.uint8)
+    start = np.array([0, 5, tb.BLOCK - 3, tb.BLOCK - 1, tb.BLOCK, tb.BLOCK + 1, 2 * tb.BLOCK - 1, 2 * tb.BLOCK, len(data) - 1, len(data)])
+    end = np.minimum(start + 9, len(data))
+    whole = [sum(int(tb._TABLE[c]) * pow(tb._BASE, k, 1 << 64) for k, c in enumerate(data[a:b])) % (1 << 64) for a, b in zip(start, end, strict=True)]
+    size = (end - start).astype(np.uint64) * tb.U64(0xA24BAED4963EE407)
+    assert (tb.span_hashes(data, start, end) == tb.mix(np.array(whole, np.uint64) + size)).all()
+    assert tb.powers(tb.BLOCK + 2)[-2:].tolist() == [pow(tb._BASE, k, 1 << 64) for k in (tb.BLOCK, tb.BLOCK + 1)]
+    assert not len(tb.powers(0)) and tb.span_hashes(data[:0], start[:0], end[:0]).tolist() == []
+
+
+def test_workers_give_memory_back():
+    """A worker that encoded or counted runs of several MB keeps neither tables of their length nor freed memory."""
+    code = """
+import random, re
+import pyarrow as pa, public_tokenizers
+from cadenza.llm import textbytes as tb, tokencount, tokenfile
+
+def held():
+    with open("/proc/self/status") as f:
+        return int(re.search(r"RssAnon:\\s+(\\d+)", f.read())[1]) / 1024
+
+def work(batches):
+    for b in batches:
+        data, offsets = tb.utf8(b.column(0))
+        for _, _, own, at in tb.runs(data, offsets, 4 << 20):
+            if which:
+                coder.encode(own, at, 1)
+            else:
+                coder.texts(own, at)
+        yield b
+
+rng = random.Random(1)
+words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(2000)]
+for which in (0, 1):
+    coder = tokenfile.WordEncoder(public_tokenizers.path("word_bpe_49k.json")) if which else tokencount._counter(public_tokenizers.path("piece_bpe_32k.model"))
+    tidied = getattr(tb, "tidied", lambda f: f)
+    before = held()
+    for _ in tidied(work)(pa.RecordBatch.from_arrays([pa.array([" ".join(rng.choices(words, k=300)) for _ in range(2500)])], ["text"]) for _ in range(2)):
+        pass
+    print(round(held() - before))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout
+    assert max(map(int, out.split())) < 40, out
+
+
 def shingle_sets(texts, n):
     out = []
     for t in texts:
